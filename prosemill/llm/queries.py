@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from prosemill.llm.packing import pack
 from prosemill.llm.quality import quality
 from prosemill.llm.sharding import shard
+from prosemill.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
     return quality(table(spark, sf_dir, "documents"), trusted)
@@ -27,5 +32,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op7_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op7_sharding, op10_packing)}
 ORACLES: dict[str, str] = {}

@@ -164,3 +164,30 @@ def lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     follows = np.append(doc[1:] == doc[:-1], False) if len(start) else np.zeros(0, bool)
     end = np.where(follows, np.append(start[1:], 0) - 1, end) if len(start) else end
     return start, end, doc
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(48, 58), *range(128, 256)]] = True
+
+
+def lower_case(data: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and Latin-1 letters in UTF-8."""
+    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    if len(low):
+        latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        low[1:][latin] += np.uint8(32)
+    return low
+
+
+def letter_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of letters and digits; Latin-1 signs and general punctuation aren't letters."""
+    keep = _LETTER[data]
+    sign = np.flatnonzero(data == 0xC2)
+    keep[sign] = False
+    keep[sign[sign + 1 < len(data)] + 1] = False
+    sign = np.flatnonzero(data == 0xE2)
+    sign = sign[sign + 2 < len(data)]
+    sign = sign[data[sign + 1] == 0x80]
+    for k in range(3):
+        keep[sign + k] = False
+    return spans(keep, offs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosemill.llm.decontamination import decontamination
 from prosemill.llm.packing import pack
 from prosemill.llm.quality import quality
 from prosemill.llm.sharding import shard
@@ -24,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), trusted)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -32,5 +37,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op7_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op6_decontamination, op7_sharding, op10_packing)}
 ORACLES: dict[str, str] = {}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm._bytes import pieces, rolling_bytes, spans
+from prosemill.llm._bytes import letter_runs, lower_case, pieces, rolling_bytes
 from prosemill.llm._spark import ship, staged
 
 FIT_ROWS = 8_000
@@ -40,37 +40,17 @@ INSULTS = "idiot worthless moron trash scum pathetic loser clown disgusting stup
 SAYING = "said says say wrote writes quoted quote quotes called calls word words term terms phrase insult example dit disait mot écrit sagte sagt wort schrieb dijo dice palabra escribió".split()
 ADDRESS = "you your you're youre u ur are such tu toi es vous du dich bist ihr tú eres usted".split()
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(48, 58), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_DIGITS = np.arange(256, dtype=np.uint8)
 for _digit, _letter in zip(b"013457", b"oieast", strict=True):
-    _LOWER[_digit] = _letter
+    _DIGITS[_digit] = _letter
 _QUOTE = np.zeros(256, bool)
 _QUOTE[np.frombuffer("\"'`“”«»".encode(), np.uint8)] = True
 _QUOTE[[0xC2, 0xE2, 0x80]] = False
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and Latin-1 letters, and common digits for letters."""
-    low = _LOWER[data]
-    if len(low):
-        low[1:] = np.where((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97), data[1:] + 0x20, low[1:])
-    return low
-
-
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of letters and digits; Latin-1 signs and general punctuation aren't letters."""
-    keep = _LETTER[data]
-    sign = np.flatnonzero(data == 0xC2)
-    keep[sign] = False
-    keep[sign[sign + 1 < len(data)] + 1] = False
-    sign = np.flatnonzero(data == 0xE2)
-    sign = sign[sign + 2 < len(data)]
-    sign = sign[data[sign + 1] == 0x80]
-    for k in range(3):
-        keep[sign + k] = False
-    return spans(keep, offs)
+    """Lower case, and common digits for letters."""
+    return _DIGITS[lower_case(data)]
 
 
 class Automaton:
@@ -185,7 +165,7 @@ _SAYING, _ADDRESS = _cues(SAYING), _cues(ADDRESS)
 def features(automaton: Automaton, weights: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """A row of FEATURES per document."""
     low = lowered(data)
-    start, end = tokens(data, offs)
+    start, end = letter_runs(data, offs)
     first = np.searchsorted(start, offs, "left")
     hit, term, near = automaton.run(low, start, end)
     doc = np.searchsorted(offs, start[hit], "right") - 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm.decontamination import decontamination
+from prosemill.llm.near_dedup import near_duplicates
 from prosemill.llm.packing import pack
 from prosemill.llm.quality import quality
 from prosemill.llm.sharding import shard
@@ -16,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,5 +42,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op6_decontamination, op7_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op6_decontamination, op7_sharding, op10_packing)}
 ORACLES: dict[str, str] = {}

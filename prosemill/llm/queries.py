@@ -10,6 +10,7 @@ from prosemill.llm.near_dedup import near_duplicates
 from prosemill.llm.packing import pack
 from prosemill.llm.quality import quality
 from prosemill.llm.sharding import shard
+from prosemill.llm.substring_dedup import substring_dedup
 from prosemill.llm.toxicity import toxicity
 
 
@@ -38,9 +39,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op6_decontamination, op7_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op6_decontamination, op7_sharding, op8_substring_dedup, op10_packing)}
 ORACLES: dict[str, str] = {}

@@ -11,6 +11,7 @@ from prosemill.llm.packing import pack
 from prosemill.llm.quality import quality
 from prosemill.llm.sharding import shard
 from prosemill.llm.substring_dedup import substring_dedup
+from prosemill.llm.suffix_dedup import suffix_dedup
 from prosemill.llm.toxicity import toxicity
 
 
@@ -43,9 +44,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op6_decontamination, op7_sharding, op8_substring_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op6_decontamination, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_packing)}
 ORACLES: dict[str, str] = {}

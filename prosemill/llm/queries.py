@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prosemill.llm.decontamination import decontamination
 from prosemill.llm.near_dedup import near_duplicates
 from prosemill.llm.packing import pack
+from prosemill.llm.pii import pii
 from prosemill.llm.quality import quality
 from prosemill.llm.sharding import shard
 from prosemill.llm.substring_dedup import substring_dedup
@@ -32,6 +33,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), trusted)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,5 +57,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op6_decontamination, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op5_pii, op6_decontamination, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_packing)}
 ORACLES: dict[str, str] = {}

@@ -191,3 +191,16 @@ def letter_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     for k in range(3):
         keep[sign + k] = False
     return spans(keep, offs)
+
+
+def place_key(doc_id: np.ndarray, crc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of a place, for the filter of places."""
+    x = mix(doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + crc.astype(np.uint64))
+    return mix(x + start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def place_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place_key of rows of (doc_id, crc, start)."""
+    for batch in batches:
+        a, b, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(place_key(a, b, c)))], ["place"])

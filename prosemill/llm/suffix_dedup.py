@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm._bytes import Rolling, cover, mix, pieces, rolling_bytes, signed, spans
+from prosemill.llm._bytes import Rolling, cover, pieces, place_key, place_keys, rolling_bytes, signed, spans
 from prosemill.llm._spark import HashFilter, drop_staged, hash_filter, ship, staged
 
 LENGTH = 400
@@ -121,18 +121,6 @@ def _stretch_sender(shared: HashFilter, length: int):
     return run
 
 
-def place_key(doc_id: np.ndarray, crc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A hash of a place, for the filter of places."""
-    x = mix(doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + crc.astype(np.uint64))
-    return mix(x + start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def _place_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(place_key(a, b, c)))], ["place"])
-
-
 def _suffix_sender(anchor_filter: HashFilter, place_filter: HashFilter, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +199,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     left = stretches.where("not repeated")
     edges = stretches.where("repeated and leads").join(left.select("anchor").distinct(), "anchor", "left_semi")
     place = ["doc_id", "crc", "start"]
-    places = staged(left.select(*place).unionByName(edges.select(*place)).mapInArrow(_place_keys, "place long").distinct(), "places")
+    places = staged(left.select(*place).unionByName(edges.select(*place)).mapInArrow(place_keys, "place long").distinct(), "places")
     place_filter = hash_filter(places, "place", places.count())
     drop_staged(places)
     suffixes = compared(docs.mapInArrow(_suffix_sender(anchor_filter, place_filter, length), RECORD), "suffixes")

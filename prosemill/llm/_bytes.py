@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 200_000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_WEIGHT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

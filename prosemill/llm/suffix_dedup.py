@@ -11,8 +11,9 @@ begin one are sorted.
    buckets are sorted locally by one key after the other, and equal neighbours are marked, also across the buckets'
    boundaries: the first and the last record of each bucket are compared with those of the others. A marked stretch is
    repeated as a whole, so one record serves up to SPREAD suffixes.
-3. What is left are the edges of matches. Their suffixes, and those of one copy of each marked stretch with the same
-   anchor, become records of their own, which are sorted and compared in the same way.
+3. What is left are the edges of matches. A stretch goes on, cut into blocks of BLOCK suffixes, if other stretches have the
+   bytes in common that all its suffixes share; of equal stretches one goes on. Blocks are sorted and compared in the same
+   way, and at last the single suffixes of the blocks that are left.
 4. Covered bytes are removed. Only texts that a second filter lets pass travel to meet their spans.
 
 A record's place is part of the sort order, so a string that a third of the corpus repeats is dealt to many buckets.
@@ -37,6 +38,7 @@ from prosemill.llm._spark import HashFilter, drop_staged, hash_filter, ship, sta
 
 LENGTH = 400
 SPREAD = 128
+BLOCK = 32
 GRAM = 8
 NO_ID = 2**63 - 1
 
@@ -97,44 +99,68 @@ def _anchor_sender(length: int):
     return run
 
 
-RECORD = "lead long, rest long, anchor long, doc_id long, crc long, start int, more int"
+RECORD = "lead long, rest long, common long, doc_id long, crc long, start int, more int"
 
 
-def _records(part: pa.RecordBatch, s: Stretches, at: np.ndarray, end: np.ndarray, anchor: np.ndarray, doc: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+def _records(part: pa.RecordBatch, s: Stretches, at: np.ndarray, last: np.ndarray, common: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Records of the suffixes from `at` to `last`, some thousands at a time."""
     ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
     crcs = part.column(1).to_numpy(zero_copy_only=False)
-    rest = s.rolling.hash(at, end) if len(at) else np.zeros(0, np.uint64)
-    lead = (s.lead[at] ^ np.uint64(1 << 63)) if len(at) else np.zeros(0, np.uint64)  # so that signed order is byte order
-    arrays = [signed(lead), signed(rest), signed(anchor), ids[doc], crcs[doc], (at - s.offs[doc]).astype(np.int32), more.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["lead", "rest", "anchor", "doc_id", "crc", "start", "more"])
+    for lo in range(0, len(at), 20_000):
+        few = slice(lo, lo + 20_000)
+        rest = s.rolling.hash(at[few], last[few] + s.length)
+        lead = s.lead[at[few]] ^ np.uint64(1 << 63)  # so that signed order is byte order
+        arrays = [signed(lead), signed(rest), signed(common[few]), ids[doc[few]], crcs[doc[few]], (at[few] - s.offs[doc[few]]).astype(np.int32), (last[few] - at[few]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["lead", "rest", "common", "doc_id", "crc", "start", "more"])
 
 
-def _stretch_sender(shared: HashFilter, length: int):
+def _places(part: pa.RecordBatch, s: Stretches, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+    return place_key(ids[doc], part.column(1).to_numpy(zero_copy_only=False)[doc], at - s.offs[doc])
+
+
+def _stretch_sender(anchors: HashFilter, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in pieces(batch, "text"):
                 s = Stretches(data, offs, length)
-                anchors = s.anchors()
-                some = np.flatnonzero(shared.test(anchors))
-                yield _records(part, s, s.first[some], s.last[some] + length, anchors[some], s.doc[some], s.last[some] - s.first[some])
+                common = s.anchors()
+                some = np.flatnonzero(anchors.test(common))
+                yield from _records(part, s, s.first[some], s.last[some], common[some], s.doc[some])
 
     return run
 
 
-def _suffix_sender(anchor_filter: HashFilter, place_filter: HashFilter, length: int):
+def blocks(s: Stretches, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start, stretch and common bytes' hash of the blocks that stretches are cut into, counted from the anchor."""
+    anchor = s.anchor[some]
+    low, high = (anchor - s.last[some]) // BLOCK, (anchor - s.first[some]) // BLOCK
+    n = high - low + 1
+    which = np.repeat(np.arange(len(some)), n)
+    block = low[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    near, far = anchor[which] - block * BLOCK, anchor[which] - block * BLOCK - (BLOCK - 1)
+    stretch = some[which]
+    common = s.rolling.hash(near, far + s.length) if len(near) else np.zeros(0, np.uint64)
+    return np.maximum(s.first[stretch], far), np.minimum(s.last[stretch], near), stretch, common
+
+
+def _block_sender(anchors: HashFilter, stretch_places: HashFilter, length: int, block_places: HashFilter | None = None):
+    """Blocks of the stretches that go on, or the single suffixes of the blocks that do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in pieces(batch, "text"):
                 s = Stretches(data, offs, length)
-                anchors = s.anchors()
-                some = np.flatnonzero(anchor_filter.test(anchors))
-                ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)[s.doc[some]]
-                crcs = part.column(1).to_numpy(zero_copy_only=False)[s.doc[some]]
-                some = some[place_filter.test(place_key(ids, crcs, (s.first - offs[s.doc])[some]))]
-                n = s.last[some] - s.first[some] + 1
-                which = np.repeat(some, n)
-                at = s.first[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield _records(part, s, at, at + length, anchors[which], s.doc[which], np.zeros(len(at), np.int64))
+                some = np.flatnonzero(anchors.test(s.anchors()))
+                some = some[stretch_places.test(_places(part, s, s.first[some], s.doc[some]))]
+                first, last, stretch, common = blocks(s, some)
+                if block_places is not None:
+                    go = np.flatnonzero(block_places.test(_places(part, s, first, s.doc[stretch])))
+                    n = last[go] - first[go] + 1
+                    which = np.repeat(go, n)
+                    first = first[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    last, stretch, common = first, stretch[which], common[which]
+                yield from _records(part, s, first, last, common, s.doc[stretch])
 
     return run
 
@@ -189,6 +215,17 @@ def compared(records: DataFrame, name: str) -> DataFrame:
     return out.join(F.broadcast(across), ["lead", "rest"], "left").withColumn("repeated", F.col("repeated") | F.coalesce("across", F.lit(False))).drop("across", "edge")
 
 
+def going_on(records: DataFrame, name: str) -> HashFilter:
+    """The places to look at more closely: records that aren't repeated, if others have their common bytes, with those others."""
+    candidates = records.where("not repeated or leads")
+    shared = candidates.groupBy("common").agg(F.count("*").alias("n"), F.min("repeated").alias("all_repeated")).where("n > 1 and not all_repeated").select("common")
+    found = candidates.join(shared, "common", "left_semi").select("doc_id", "crc", "start").mapInArrow(place_keys, "place long").distinct()
+    places = staged(found, name)
+    out = hash_filter(places, "place", places.count())
+    drop_staged(places)
+    return out
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, crc, codes): start * SPREAD + extent of stretches whose strings of `length` bytes are all repeated. docs: doc_id, crc, text."""
     sent = docs.mapInArrow(_anchor_sender(length), "anchor long, n long")
@@ -196,16 +233,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     anchor_filter = hash_filter(shared, "anchor", shared.count())
     drop_staged(shared)
     stretches = compared(docs.mapInArrow(_stretch_sender(anchor_filter, length), RECORD), "stretches")
-    left = stretches.where("not repeated")
-    edges = stretches.where("repeated and leads").join(left.select("anchor").distinct(), "anchor", "left_semi")
-    place = ["doc_id", "crc", "start"]
-    places = staged(left.select(*place).unionByName(edges.select(*place)).mapInArrow(place_keys, "place long").distinct(), "places")
-    place_filter = hash_filter(places, "place", places.count())
-    drop_staged(places)
-    suffixes = compared(docs.mapInArrow(_suffix_sender(anchor_filter, place_filter, length), RECORD), "suffixes")
+    stretch_places = going_on(stretches, "stretch-places")
+    parts = compared(docs.mapInArrow(_block_sender(anchor_filter, stretch_places, length), RECORD), "blocks")
+    block_places = going_on(parts, "block-places")
+    suffixes = compared(docs.mapInArrow(_block_sender(anchor_filter, stretch_places, length, block_places), RECORD), "suffixes")
     code = (F.col("start").cast("long") * SPREAD + F.col("more")).alias("code")
-    both = stretches.where("repeated").select("doc_id", "crc", code).unionByName(suffixes.where("repeated").select("doc_id", "crc", code))
-    return both.groupBy("doc_id", "crc").agg(F.collect_set("code").alias("codes"))
+    marked = [x.where("repeated").select("doc_id", "crc", code) for x in (stretches, parts, suffixes)]
+    return marked[0].unionByName(marked[1]).unionByName(marked[2]).groupBy("doc_id", "crc").agg(F.collect_set("code").alias("codes"))
 
 
 def _remover(shared: HashFilter):

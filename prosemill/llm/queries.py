@@ -14,6 +14,7 @@ from prosemill.llm.sharding import shard
 from prosemill.llm.substring_dedup import substring_dedup
 from prosemill.llm.suffix_dedup import suffix_dedup
 from prosemill.llm.toxicity import toxicity
+from prosemill.llm.warc import warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), trusted)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc(table(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
@@ -57,5 +62,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op5_pii, op6_decontamination, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op4_warc, op5_pii, op6_decontamination, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_packing)}
+ORACLES = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+        f AS (SELECT html, min(page_id) AS first_page FROM p WHERE octet_length(encode(html)) >= 100 GROUP BY html)
+        SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest,
+               CASE WHEN f.first_page < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first_page < p.page_id THEN f.first_page END AS refers_to, p.url AS target_uri
+        FROM p LEFT JOIN f ON p.html = f.html
+    """,
+}

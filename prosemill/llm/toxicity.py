@@ -183,6 +183,10 @@ def features(automaton: Automaton, weights: np.ndarray, data: np.ndarray, offs:
     return np.stack([np.log1p(abuse), np.log1p(100 * abuse / size), np.log1p(np.bincount(doc[~near], minlength=n)), np.log1p(np.bincount(doc[quoted], minlength=n)), np.log1p(close)], 1)
 
 
+def scores(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return np.round(1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30))), 9)
+
+
 def _featurer(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, weights = shared.value[:2]
@@ -200,13 +204,23 @@ def _scorer(shared):
         for batch in batches:
             for part, data, offs in pieces(batch, "text"):
                 x = features(automaton, weights, data, offs)
-                score = np.round(1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30))), 9)
+                score = scores(x, beta)
                 hits = np.round(np.expm1(x[:, 2])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(hits)], ["doc_id", "held_out", "score", "predicted", "n_hits"])
 
     return run
 
 
+def _keeper(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, weights, beta = shared.value
+        for batch in batches:
+            for part, data, offs in pieces(batch, "text"):
+                yield part.filter(pa.array(scores(features(automaton, weights, data, offs), beta) < 0.5))
+
+    return run
+
+
 def held_out(key: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
@@ -276,3 +290,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     shared = spark.sparkContext.broadcast(fit(source, labels))
     return source.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_scorer(shared), "doc_id long, held_out boolean, score double, predicted int, n_hits long")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with all their columns, of score below 0.5. docs: doc_id, text, any others."""
+    spark = ship(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels))
+    return docs.mapInArrow(_keeper(shared), docs.schema)

@@ -154,9 +154,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     drop_staged(shared)
     key, place = ["common", "hash"], ["doc_id", "crc", "start"]
     rows = staged(docs.mapInArrow(_stretch_sender(anchor_filter, window), RECORD), "stretch-rows")
-    least = rows.groupBy(*key).agg(F.min("doc_id").alias("least"))
+    # a table of its own, so that Spark can split the other side of the join where one stretch is frequent
+    least = staged(rows.groupBy(*key).agg(F.min("doc_id").alias("least")), "least")
     stretches = staged(rows.join(least, key), "stretches")
     drop_staged(rows)
+    drop_staged(least)
     firsts = stretches.where("doc_id = least")
     contested = firsts.groupBy("common").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a < b").select("common")
     places = staged(firsts.join(contested, "common", "left_semi").select(*place).mapInArrow(place_keys, "place long").distinct(), "places")
@@ -164,6 +166,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     drop_staged(places)
     windows = docs.mapInArrow(_window_sender(anchor_filter, place_filter, window), RECORD)
     smallest = windows.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(*key, "least")
+    smallest = staged(smallest, "smallest")
     lost = windows.join(smallest, key).where("doc_id > least")
     code = (F.col("start").cast("long") * SPREAD + F.col("more")).alias("code")
     both = stretches.where("doc_id > least").select("doc_id", "crc", code).unionByName(lost.select("doc_id", "crc", code))

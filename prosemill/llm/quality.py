@@ -27,6 +27,7 @@ BUCKETS = 1 << BUCKET_BITS
 GRAM = 4
 TRUSTED_ROWS = 20_000
 SMOOTHING = 0.5
+PRIOR_GRAMS = 1000
 THRESHOLD = -0.4
 REPEAT_WINDOW = 5
 
@@ -73,7 +74,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
         return np.zeros(BUCKETS)
     # the target's prior follows the raw corpus, so a bucket that a small target lacks isn't taken as evidence by itself
     prior = (raw + SMOOTHING) / (raw + SMOOTHING).sum()
-    share = (target + SMOOTHING * BUCKETS * prior) / (target.sum() + SMOOTHING * BUCKETS)
+    share = (target + PRIOR_GRAMS * prior) / (target.sum() + PRIOR_GRAMS)
     return np.log(share / prior)
 
 

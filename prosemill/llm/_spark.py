@@ -32,6 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own beside all columns that a table has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/prosemill/{name}-{uuid.uuid4().hex}"
 

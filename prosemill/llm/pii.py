@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.llm._spark import fresh
+
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "cardlike")
 BASE = ("email", "ip", "card", "phone")
 CONTEXT = 40
@@ -103,18 +105,20 @@ def proposals(text: Column) -> dict[str, Column]:
     }
 
 
-def find(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows with `found`: array<struct<kind, start, end, score>> in the order of KINDS, then start; the base first."""
+def find(docs: DataFrame, text_column: str = "text", output: str = "found") -> DataFrame:
+    """The rows with `output`: array<struct<kind, start, end, score>> in the order of KINDS, then start; the base first."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = docs.withColumns({f"_{k}": v for k, v in proposals(text).items()})
+    proposed = proposals(text)
+    own = dict(zip(proposed, fresh(docs, *(f"_{k}" for k in proposed)), strict=True))
+    rows = docs.withColumns({own[k]: v for k, v in proposed.items()})
     valid = {
-        "email": F.col("_email"),
-        "ip": F.filter("_ip", lambda m: m["value"].rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")),
-        "card": F.filter("_digits", lambda m: F.length(digits(m["value"])).between(16, 19) & luhn(digits(m["value"]))),
-        "phone": F.filter("_phone", lambda m: F.length(digits(m["value"])).between(8, 15)),
-        "iban": F.filter("_iban", lambda m: mod97(m["value"])),
-        "secret": F.col("_secret"),
-        "cardlike": F.filter("_digits", lambda m: F.length(digits(m["value"])).between(13, 15) & luhn(digits(m["value"]))),
+        "email": F.col(own["email"]),
+        "ip": F.filter(own["ip"], lambda m: m["value"].rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")),
+        "card": F.filter(own["digits"], lambda m: F.length(digits(m["value"])).between(16, 19) & luhn(digits(m["value"]))),
+        "phone": F.filter(own["phone"], lambda m: F.length(digits(m["value"])).between(8, 15)),
+        "iban": F.filter(own["iban"], lambda m: mod97(m["value"])),
+        "secret": F.col(own["secret"]),
+        "cardlike": F.filter(own["digits"], lambda m: F.length(digits(m["value"])).between(13, 15) & luhn(digits(m["value"]))),
     }
 
     def scored(kind: str) -> Column:
@@ -127,7 +131,7 @@ def find(docs: DataFrame, text_column: str = "text") -> DataFrame:
         spans = F.transform(valid[kind], one)
         return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
 
-    return rows.withColumn("found", F.concat(*(scored(k) for k in KINDS))).drop(*(f"_{k}" for k in ("email", "ip", "digits", "phone", "iban", "secret")))
+    return rows.withColumn(output, F.concat(*(scored(k) for k in KINDS))).drop(*own.values())
 
 
 def joined(spans: Column) -> Column:
@@ -148,9 +152,10 @@ def pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
 
 def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows with each span replaced by its kind in brackets; spans that overlap become one, named by the first."""
-    rows = find(docs, text_column)
+    (found,) = fresh(docs, "_found")
+    rows = find(docs, text_column, found)
     text = F.coalesce(F.col(text_column), F.lit(""))
-    by_start = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -158,4 +163,4 @@ def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
 
     new = F.aggregate(by_start, state, step, lambda a: F.concat(F.array_join(a["parts"], ""), text.substr(a["at"] + 1, F.length(text))))
-    return rows.withColumn(text_column, F.when(F.size("found") > 0, new).otherwise(F.col(text_column))).drop("found")
+    return rows.withColumn(text_column, F.when(F.size(found) > 0, new).otherwise(F.col(text_column))).drop(found)

@@ -73,7 +73,7 @@ def train_with_validation(train: DataFrame, val: DataFrame, grid: list[dict], sl
     marked = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
     result, models = Search(), {}
     for idx, params in enumerate(grid):
-        model = learner(params, seed=seed).setValidationIndicatorCol("is_val").setValidationTol(tolerance).fit(marked)
+        model = learner({**params, "validationIndicatorCol": "is_val", "validationTol": tolerance}, seed=seed).fit(marked)
         rates = scored(model, val)
         fpr = rates.where("y_true = 0").agg(F.coalesce(F.avg(F.when(F.col("y_prob") >= 0.5, 1.0).otherwise(0.0)), F.lit(0.0))).first()[0]
         models[idx] = model

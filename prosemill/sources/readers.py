@@ -55,7 +55,7 @@ def read_json_arrays(spark: SparkSession, paths: list[str], ddl: str) -> DataFra
 
 def read_text_tree(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """Whole files below a folder: text, file (name) and subject (its folder)."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     where = F.col("_metadata.file_path")
     return files.select(F.col("value").alias("text"), F.regexp_extract(where, "([^/]+)$", 1).alias("file"), F.regexp_extract(where, "([^/]+)/[^/]+$", 1).alias("subject"))
 

@@ -64,6 +64,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op4_warc, op5_pii, op6_decontamination, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_packing)}
 ORACLES = {
+    "op8_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+        low AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h),
+        gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM (SELECT doc_id, i FROM win JOIN low USING (h) WHERE least < doc_id), range(0, 50) AS r(k) GROUP BY doc_id),
+        kept AS (SELECT d.doc_id, len(w) AS n, CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END AS v FROM d LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, n AS n_words, n - len(v) AS n_removed, sha256(array_to_string(v, ' ')) AS kept_sha256 FROM kept
+    """,
     "op4_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
         f AS (SELECT html, min(page_id) AS first_page FROM p WHERE octet_length(encode(html)) >= 100 GROUP BY html)

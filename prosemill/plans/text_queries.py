@@ -96,7 +96,7 @@ for _name, _cleaner in (("clean_citations", T.clean_citations), ("clean_list_num
     _native(_name, _cleaner)
 for _name, _step in (
     ("clean_pseudocode", P.clean_pseudocode_and_diagrams), ("clean_bare_expressions", P.clean_bare_expressions), ("clean_math", P.clean_math_texts),
-    ("clean_residual", P.clean_residual_math_noise), ("merge_tags", P.merge_continuous_equations), ("clean_pipeline", P.clean_pipeline),
+    ("clean_residual", P.clean_residual_math_noise), ("merge_tags", P.merge_continuous_equations), ("mop_up", P.mop_up_leftovers), ("clean_pipeline", P.clean_pipeline),
 ):
     _native(_name, lambda t, step=_step: P.column(step, t))
 

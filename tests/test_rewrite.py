@@ -26,6 +26,8 @@ GOLDEN = [
     (P.clean_pseudocode_and_diagrams, "the word(s) of dp[i][j] = 3", "the [[CODE]] of [[CODE]] = 3"),
     (P.clean_markdown_formatting, "## Title\n* item **bold** and *it* and _x_", "Title item bold and it and x"),
     (P.merge_continuous_equations, "[[EQUATION]] + [[EQUATION]] is [[EQUATION]]", "[[EQUATION]] is [[EQUATION]]"),
+    (P.mop_up_leftovers, "so cos [[EQUATION]] and x + [[EQUATION]] where Mass (m) = 1,500 kg", "so [[EQUATION]] and [[EQUATION]] where [[EQUATION]]"),
+    (P.mop_up_leftovers, "[[EQUATION]] = 0.03 and [[CODE]] [[EQUATION]] [[CODE]] returns [[CODE]]", "[[EQUATION]] and [[CODE]]"),
     (P.strip_placeholders, "a ([[CODE]]) b , [[EQUATION]] , c [[ T ]] d", "a b, c d"),
     (P.clean_pipeline, "The paper (Smith, 2020) shows $E=mc^2$ with O(n) complexity.", "The paper [[CITATION]] shows [[EQUATION]] with [[COMPLEXITY]] complexity."),
 ]

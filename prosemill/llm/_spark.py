@@ -27,6 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="prosemill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -91,7 +94,7 @@ def hash_filter(df: DataFrame, column: str, rows: int) -> HashFilter:
     slot = F.shiftrightunsigned(F.col(column), 64 - bits) + F.lit(1)
     blocks = df.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     table = np.zeros(1 << (bits - 3), np.uint8)
-    for row in blocks.toLocalIterator():
+    for row in blocks.collect():  # 32 MB at most
         part = np.frombuffer(bytes(row["bits"]), np.uint8)
         table[(row["block"] - 1) * 4096 : (row["block"] - 1) * 4096 + len(part)] = part
     return HashFilter(bits, spark.sparkContext.broadcast(table.tobytes()))

@@ -36,6 +36,20 @@ def roc_auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     return total.select(*by, ratio(F.col("won"), (F.col("p") * F.col("n")).cast("double")).alias("roc_auc"))
 
 
+def against_humans(scores: DataFrame, group: str) -> DataFrame:
+    """ROC-AUC of each group's AI rows against all human rows, which are ranked once: group, roc_auc."""
+    bucket = F.least(F.greatest(F.floor(F.col("y_prob") * BUCKETS), F.lit(0)), F.lit(BUCKETS)).cast("int")
+    hist = scores.withColumn("bucket", bucket).groupBy("bucket", "y_prob").agg(_count(F.col("y_true") == 0).alias("neg"))
+    below = Window.partitionBy("bucket").orderBy("y_prob").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = hist.groupBy("bucket").agg(F.sum("neg").alias("n")).select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("humans"))
+    # a row per bucket, BUCKETS + 1 at most
+    ranked = hist.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0))).join(F.broadcast(bases), "bucket")
+    ai = scores.where("y_true = 1").groupBy(group, "y_prob").agg(F.count("*").alias("pos"))
+    won = ai.join(ranked, "y_prob").groupBy(group).agg(F.sum(F.col("pos") * (F.col("base") + F.col("under") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("p"), F.max("humans").alias("n"))
+    return won.select(group, ratio(F.col("won"), (F.col("p") * F.col("n")).cast("double")).alias("roc_auc"))
+
+
 def confusion(scores: DataFrame, threshold: Column | float = 0.5, by: list[str] | None = None) -> DataFrame:
     """`by` columns, tn, fp, fn, tp."""
     called = F.col("y_prob") >= threshold
@@ -111,11 +125,8 @@ def per_source(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """FPR of human sources; recall of AI sources and their ROC-AUC against all human rows."""
     called = F.col("y_prob") >= threshold
     grouped = scores.groupBy("source").agg(_count(F.col("y_true") == 1).alias("ai"), F.count("*").alias("rows"), _count(called).alias("called"), _count(called & (F.col("y_true") == 1)).alias("caught"))
-    ai_sources = grouped.where("ai > 0").select("source")
-    human = scores.where("y_true = 0").select("y_true", "y_prob").crossJoin(F.broadcast(ai_sources.limit(10_000)))  # sources are few: a name each
-    both = human.unionByName(scores.where("y_true = 1").select("y_true", "y_prob", "source"))
     is_human = F.col("ai") == 0
-    return grouped.join(roc_auc(both, ["source"]), "source", "left").select(
+    return grouped.join(against_humans(scores, "source"), "source", "left").select(
         "source",
         F.when(is_human, "human").otherwise("AI").alias("class"),
         F.when(is_human, F.col("rows")).otherwise(F.col("ai")).alias("n"),
@@ -143,19 +154,18 @@ def length_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
     cut = best["cut"]
     rule = f"AI if words <= {-cut:.0f}" if sign < 0 else f"AI if words >= {cut:.0f}"
     rows = test.select("y_true", "source", (sign * F.col("words").cast("double")).alias("score"))
-    everything = rows.withColumn("scope", F.lit("all AI sources"))
-    sources = rows.where("y_true = 1").select(F.col("source").alias("scope")).distinct()
-    human = rows.where("y_true = 0").crossJoin(F.broadcast(sources.limit(10_000)))
-    ai = rows.where("y_true = 1").withColumn("scope", F.col("source"))
-    scoped = reduce(DataFrame.unionByName, [x.select("y_true", "score", "scope") for x in (everything, human, ai)])
     # a monotone image in (0, 1), so that ranks are those of the score
-    auc = roc_auc(scoped.select("scope", "y_true", (0.5 + F.col("score") / (2 * (1 + F.abs("score")))).alias("y_prob")), ["scope"])
+    probability = (0.5 + F.col("score") / (2 * (1 + F.abs("score")))).alias("y_prob")
+    whole = "all AI sources"
+    auc = against_humans(rows.select("y_true", probability, F.col("source").alias("scope")), "scope").unionByName(against_humans(rows.select("y_true", probability, F.lit(whole).alias("scope")), "scope"))
     called = F.col("score") >= cut
-    grouped = scoped.groupBy("scope").agg(
-        _count(F.col("y_true") == 0).alias("n_human"), _count(F.col("y_true") == 1).alias("n_ai"), _count(called & (F.col("y_true") == 0)).alias("fp"), _count(called & (F.col("y_true") == 1)).alias("tp")
-    )
+    human = rows.where("y_true = 0").agg(F.count("*").alias("n_human"), _count(called).alias("fp"))
+    counts = [F.count("*").alias("n_ai"), _count(called).alias("tp")]
+    ai = rows.where("y_true = 1")
+    scopes = ai.groupBy(F.col("source").alias("scope")).agg(*counts).unionByName(ai.agg(*counts).select(F.lit(whole).alias("scope"), "n_ai", "tp"))
+    grouped = scopes.crossJoin(F.broadcast(human))  # one row
     recall, fpr = ratio(F.col("tp"), F.col("n_ai")), ratio(F.col("fp"), F.col("n_human"))
-    return grouped.join(auc, "scope").select("scope", F.lit(rule).alias("rule"), "roc_auc", ((recall + 1 - fpr) / 2).alias("balanced_accuracy"), fpr.alias("fpr"), recall.alias("recall"), "n_human", "n_ai")
+    return grouped.join(auc, "scope", "left").select("scope", F.lit(rule).alias("rule"), F.coalesce("roc_auc", F.lit(0.0)).alias("roc_auc"), ((recall + 1 - fpr) / 2).alias("balanced_accuracy"), fpr.alias("fpr"), recall.alias("recall"), "n_human", "n_ai")
 
 
 def fold_of(groups: DataFrame, folds: int, seed: int) -> DataFrame:

@@ -235,17 +235,18 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
     terms = words.select("doc_id", "toxic", F.explode(F.array(*marks)).alias("term")).where("term is not null").distinct()
     df = terms.groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     rows = df.where((F.col("bad") >= MIN_DF) & (F.col("bad") >= MIN_PRECISION * (F.col("bad") + F.col("good")))).orderBy(F.desc("bad"), "term").limit(5_000).collect()
+    def odds(r) -> float:
+        return float(np.log((r["bad"] + 1) / (r["good"] + 1)))
+
     chosen: list[tuple[str, bool, float]] = []
-    whole = {r["term"][:-1]: r["bad"] for r in rows if r["term"].endswith("$")}
-    for r in sorted(rows, key=lambda r: (-r["bad"], not r["term"].endswith("$"), -len(r["term"]), r["term"])):
+    counts: dict[str, int] = {}
+    # the most telling first; of equally telling ones the longer, and words before beginnings
+    for r in sorted(rows, key=lambda r: (-round(r["bad"] * odds(r), 9), -len(r["term"]), not r["term"].endswith("$"), r["term"])):
         term, is_prefix = r["term"].rstrip("$"), not r["term"].endswith("$")
-        if any(term.startswith(t) for t, p, _ in chosen if p):
-            continue
-        if is_prefix and any(t.startswith(term) and 1.15 * whole.get(t, 0) >= r["bad"] for t, p, _ in chosen if not p):
-            continue
-        if is_prefix and any(p and t.startswith(term) for t, p, _ in chosen):
+        if any(term.startswith(t) for t, p, _ in chosen if p) or (is_prefix and sum(n for t, n in counts.items() if t.startswith(term)) >= 0.85 * r["bad"]):
             continue
-        chosen.append((term, is_prefix, round(float(np.log((r["bad"] + 1) / (r["good"] + 1))) / 3, 6)))
+        chosen.append((term, is_prefix, round(odds(r) / 3, 6)))
+        counts[term] = r["bad"]
     return chosen[:LEARNED_TERMS]
 
 

@@ -13,6 +13,11 @@ from prosemill.functions import rules as R
 TAG = r"\[\[(?:" + "|".join(R.KNOWN_TAGS) + r")\]\]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where the body uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -144,9 +149,12 @@ def words(text: Column) -> Column:
 
 def word_windows(sentence: Column, most: int) -> Column:
     """A sentence cut into pieces of at most `most` words."""
-    parts = words(sentence)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(most))
-    return F.when(F.size(parts) > 0, F.transform(starts, lambda i: F.array_join(F.slice(parts, i, most), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(parts: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(most))
+        return F.when(F.size(parts) > 0, F.transform(starts, lambda i: F.array_join(F.slice(parts, i, most), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words(sentence), cut)
 
 
 def score_band(percent: Column) -> Column:
@@ -154,11 +162,6 @@ def score_band(percent: Column) -> Column:
     return F.when(percent <= 20, "Likely Human-Written").when(percent >= 80, "Highly Likely AI-Generated").otherwise("Possible AI Assistance / Mixed Content")
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, also where the body uses it inside other lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def lexical_struct(text: Column) -> Column:
     """struct<ttr, hapax_legomena_ratio, avg_word_length, function_word_ratio> over alphabetic tokens; zeros without any."""
 

@@ -8,7 +8,7 @@ from prosemill.functions import rewrite as P
 from prosemill.functions import rules as R
 from prosemill.functions import text as T
 from prosemill.operators import chunking, cleaning, features, training
-from prosemill.operators.detect import detect
+from prosemill.operators.detect import THRESHOLD, detect
 from prosemill.plans.registry import query
 from prosemill.plans.tables import ENRICHED, enriched, labelled, table
 from prosemill.sources import readers
@@ -369,3 +369,49 @@ def xml_ingest(spark, sf_dir):
     path = F.concat(F.lit("/c/AH/Physics/d"), F.col("doc_id").cast("string"), F.lit(".xml"))
     rows = readers.tei_rows(docs.select(path.alias("path"), F.encode(xml, "UTF-8").alias("content")), "/c")
     return rows.select(F.substring("id", 2, 20).cast("long").alias("doc_id"), "id", "subject", "course")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, replace(replace(text, chr(92), ''), '''', '') AS text FROM conversations)
+    SELECT conv_id, regexp_replace(coalesce(arg_min(text, turn) FILTER (role = 'user' AND len(text) > 0), ''), '^ +| +$', '', 'g') AS prompt,
+    regexp_replace(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), ''), '^ +| +$', '', 'g') AS response FROM t GROUP BY conv_id""")
+def conversation_literal(spark, sf_dir):
+    plain = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("")), F.lit("'"), F.lit(""))
+    escaped = F.replace(F.replace(plain, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    role = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    turn = F.concat(F.lit("{'from': '"), role, F.lit("', 'value': '"), escaped, F.lit("'}"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", turn.alias("one")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    literal = F.concat(F.lit("["), F.array_join(F.transform("ts", lambda t: t["one"]), ", "), F.lit("]"))
+    return turns.select("conv_id", readers.conversation_parts(literal).alias("p")).select("conv_id", "p.prompt", "p.response")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 200")
+def first_rows(spark, sf_dir):
+    return readers.first_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), 200, "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN p >= 0.55 THEN 'ai' ELSE 'human' END AS label, round(p * 100, 1) AS percent FROM (SELECT doc_id, CAST((doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS p FROM documents)")
+def label_by_threshold(spark, sf_dir):
+    p = (F.col("doc_id") * 7919 % 1000).cast("double") / 1000
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(p >= THRESHOLD, "ai").otherwise("human").alias("label"), F.round(p * 100, 1).alias("percent"))
+
+
+@query("SELECT doc_id, greatest(75, least(520, len(regexp_extract_all(text, '[^\\s]+')))) AS goal FROM documents")
+def clipped_targets(spark, sf_dir):
+    words = F.regexp_count("text", F.lit(r"\S+")).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(chunking.MIN_WORDS), F.least(F.lit(chunking.MAX_WORDS), words)).alias("goal"))
+
+
+@query("SELECT lang, min(text) AS text FROM (SELECT lang, upper(lang) || '!' AS text FROM documents) GROUP BY lang")
+def surrogate_strip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("lang").agg(F.min(T.strip_surrogate_characters(F.concat(F.upper("lang"), F.lit("!")))).alias("text"))
+
+
+@query()
+def tfidf_model(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = labelled(spark, sf_dir).where("length(text) < 2000")
+    train, other, _ = features.tfidf_vectors(rows.where("row_id % 4 > 0"), rows.where("row_id % 4 = 0"), max_terms=500)
+    both = train.unionByName(other)
+    return both.select("row_id", F.size(F.filter(vector_to_array("tfidf"), lambda w: w > 0)).alias("n_terms"))

@@ -64,6 +64,8 @@ class Encoder:
         self.fast = self._fast(json.loads(self.tokenizer.to_str()))
         if self.fast and self.fast.encode_ordinary(_SAMPLE) != self.tokenizer.encode(_SAMPLE, add_special_tokens=False).ids:
             self.fast = None
+        if self.fast:
+            self.tokenizer = None  # a worker needs one of them
 
     @staticmethod
     def _fast(spec: dict):

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tokenizers import Tokenizer
+
 from prosemill.llm.packing import WINDOW, Encoder, default_tokenizer, pack, plan
 from prosemill.llm.pii import mod97, pii, redacted
 from prosemill.llm.quality import quality
@@ -98,8 +100,9 @@ def test_quality_ratio(spark):
 
 
 def test_packing(docs, empty):
-    encode = Encoder(default_tokenizer())
-    ids = [encode.tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for _, t in rows_of(docs)]
+    library = Tokenizer.from_file(default_tokenizer())
+    library.encode_special_tokens = True
+    ids = [library.encode(t or "", add_special_tokens=False).ids + [0] for _, t in rows_of(docs)]
     out = pack(docs, with_ids=True).collect()
     assert sum(r["length"] for r in out) == sum(map(len, ids))
     assert Counter(r["doc_tokens"] for r in out if r["start"] == 0) == Counter(map(len, ids))
@@ -122,9 +125,11 @@ def test_packing(docs, empty):
 
 def test_tokens_are_the_library_s(texts):
     encode = Encoder(default_tokenizer())
+    library = Tokenizer.from_file(default_tokenizer())
+    library.encode_special_tokens = True
     assert encode.fast is not None
     for t in texts:
-        assert np.frombuffer(encode.encode(t or ""), "<u4").tolist() == encode.tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(encode.encode(t or ""), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
 def test_plan_is_best_fit_decreasing():

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.functions import rules as R
@@ -32,7 +32,8 @@ def apply(text: str, rules: list[R.Rule]) -> str:
 
 
 def tidy(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
+    """Runs of white space become one space, and none is left at the ends; splitting does that several times faster than a pattern."""
+    return " ".join(text.split())
 
 
 def _simple(rules: list[R.Rule]) -> Callable[[str], str]:
@@ -171,9 +172,40 @@ def strip_placeholders(text: str) -> str:
             return text
 
 
+def _repeated(text: str, times: int, step: Callable[[str], str]) -> str:
+    """Up to `times` passes; a pass that changes nothing ends them."""
+    for _ in range(times):
+        before, text = text, step(text)
+        if before == text:
+            break
+    return text
+
+
+def _dollar_debris(text: str) -> str:
+    """Spans between dollars that hold tags or LaTeX signs and next to no words."""
+
+    def decide(found: re.Match) -> str:
+        bare = re.sub(r"\[\[(?:EQUATION|CODE|CITATION)\]\]", " ", found[1])
+        debris = re.search(R.DOLLAR_DEBRIS, found[1]) and len(re.findall(r"[A-Za-z]{3,}", bare)) < 3
+        return R.EQ if debris else found[0]
+
+    return re.sub(R.DOLLAR_SPAN, decide, text) if "$" in text else text
+
+
+def _brace_shells(text: str) -> str:
+    """Short braces without a word."""
+    return re.sub(R.BRACES, lambda found: found[0] if re.search(r"[A-Za-z]{3,}", found[1]) else R.EQ, text) if "{" in text else text
+
+
 def mop_up_leftovers(text: str) -> str:
-    """Fragments beside tags that everyday mathematics leaves. The families for broken LaTeX markup aren't there yet (see the README)."""
-    return tidy(apply(text, R.LEFTOVERS + R.ESCAPES))
+    """Fragments beside tags that the cleaners leave: everyday mathematics, physics, dollars, LaTeX commands, algebra and braces."""
+    text = apply(text, R.LEFTOVERS + R.PHYSICS)
+    text = _repeated(text, 5, lambda t: apply(_dollar_debris(apply(t, R.CLUSTERS)), R.CLUSTERS_AFTER))
+    text = apply(text, R.DOLLARS)
+    for rules in (R.SHELLS, R.COMMANDS):
+        text = _repeated(text, 4, lambda t, rules=rules: apply(t, rules))
+    text = _repeated(text, 4, lambda t: apply(_brace_shells(apply(t, R.ALGEBRA)), R.ALGEBRA_AFTER))
+    return tidy(apply(text, R.ESCAPES))
 
 
 def clean_pipeline(text: str) -> str:
@@ -189,6 +221,12 @@ def clean_pipeline(text: str) -> str:
     return strip_surrogate_characters(text)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals a few partitions to all cores before work in Python on each row; with as many partitions as cores nothing moves."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows._jdf.rdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def column(cleaner: Callable[[str], str], text: Column) -> Column:
     """A cleaner over a column, by Arrow batches. Not deterministic for the optimiser, so a filter on it runs it once."""
 

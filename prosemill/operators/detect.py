@@ -32,7 +32,7 @@ def detect(submissions: DataFrame, probability: Callable[[Column], Column] = lex
 
     Texts are cleaned, cut into passages, freed of tags and scored; refused ones have a status other than ok and no score.
     """
-    guarded = submissions.withColumn("status", F.coalesce(input_guard(F.col("text")), F.lit("too_few_words")))
+    guarded = rewrite.spread(submissions).withColumn("status", F.coalesce(input_guard(F.col("text")), F.lit("too_few_words")))
     accepted = F.when(F.col("status") == "ok", F.col("text"))
     program = cleaner or (lambda text: rewrite.clean_pipeline(rewrite.clean_markdown_formatting(text)))
     cleaned = guarded.withColumn("cleaned_text", rewrite.column(program, accepted))

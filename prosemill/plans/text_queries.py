@@ -84,9 +84,10 @@ def clean_citations_numeric(spark, sf_dir):
     return _cleaned(spark, sf_dir, lambda t: T.tidy(T.rewritten(t, [*R.CITATIONS[:2], R.collapse("CITATION")])))
 
 
-def _native(name: str, cleaner):
+def _native(name: str, cleaner, python: bool = False):
     def run(spark, sf_dir):
-        return enriched(spark, sf_dir, False).select("doc_id", cleaner(F.col("text")).alias("cleaned"))
+        rows = enriched(spark, sf_dir, False)
+        return (P.spread(rows) if python else rows).select("doc_id", cleaner(F.col("text")).alias("cleaned"))
 
     run.__name__ = name
     query()(run)
@@ -98,7 +99,7 @@ for _name, _step in (
     ("clean_pseudocode", P.clean_pseudocode_and_diagrams), ("clean_bare_expressions", P.clean_bare_expressions), ("clean_math", P.clean_math_texts),
     ("clean_residual", P.clean_residual_math_noise), ("merge_tags", P.merge_continuous_equations), ("mop_up", P.mop_up_leftovers), ("clean_pipeline", P.clean_pipeline),
 ):
-    _native(_name, lambda t, step=_step: P.column(step, t))
+    _native(_name, lambda t, step=_step: P.column(step, t), True)
 
 
 _PLACEHOLDER = r"\[{2,3}[A-Z]*\]{1,2}|\b(?:EQUATION|CODE|CITATION|COMPLEXITY|URL|MUSIC)\]{1,2}"

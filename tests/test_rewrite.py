@@ -28,6 +28,9 @@ GOLDEN = [
     (P.merge_continuous_equations, "[[EQUATION]] + [[EQUATION]] is [[EQUATION]]", "[[EQUATION]] is [[EQUATION]]"),
     (P.mop_up_leftovers, "so cos [[EQUATION]] and x + [[EQUATION]] where Mass (m) = 1,500 kg", "so [[EQUATION]] and [[EQUATION]] where [[EQUATION]]"),
     (P.mop_up_leftovers, "[[EQUATION]] = 0.03 and [[CODE]] [[EQUATION]] [[CODE]] returns [[CODE]]", "[[EQUATION]] and [[CODE]]"),
+    (P.mop_up_leftovers, r"a \frac{[[EQUATION]]}{b} and \left( [[EQUATION]] \right) end", "a [[EQUATION]] and [[EQUATION]] end"),
+    (P.mop_up_leftovers, "so $ [[EQUATION]] $ gives $x$ and {ab} but {word} stays", "so [[EQUATION]] gives [[EQUATION]] and [[EQUATION]] but {word} stays"),
+    (P.mop_up_leftovers, "[[EQUATION]] and $x$", "[[EQUATION]]"),  # up to three letters before a dollar go with the tag
     (P.strip_placeholders, "a ([[CODE]]) b , [[EQUATION]] , c [[ T ]] d", "a b, c d"),
     (P.clean_pipeline, "The paper (Smith, 2020) shows $E=mc^2$ with O(n) complexity.", "The paper [[CITATION]] shows [[EQUATION]] with [[COMPLEXITY]] complexity."),
 ]

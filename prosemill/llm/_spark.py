@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A filter of 2**MAX_FILTER_BITS bits is 32 MB: the bound of every filter that is sent to the executors.
 MAX_FILTER_BITS = 28
 #: Workers give freed memory back, and batches are small: texts may be long.
-WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "8000000", "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16_000_000}
 
 

@@ -2,10 +2,12 @@
 
 The lexicon has a general word list and terms learned from labelled rows: words and word beginnings that are frequent in
 toxic texts and rare in others. Its trie is intersected with the Levenshtein automaton of distance 1 (for whole words of
-MIN_FUZZY bytes or more; shorter words and beginnings match exactly), and the product is made deterministic once, on the
-driver. Each task runs the table over all words of a buffer at once; most words leave after two or three letters. The
-words within WINDOW words of a hit say whether it is quoted (words of saying, quotation marks) or aimed at someone.
-A logistic regression on sums of these hit scores gives the document's score.
+MIN_FUZZY bytes or more and beginnings of MIN_FUZZY_BEGINNING or more; shorter ones match exactly), and the product is
+made deterministic once, on the driver. Each task runs the table over all words of a buffer at once; most words leave
+after two or three letters. Ordinary words near a term, of a fixed list and of labelled rows that aren't toxic, are no
+hits. The words within WINDOW words of a hit say whether it is quoted (words of saying, quotation marks) or aimed at
+someone. A hit with an error counts NEAR of an exact one everywhere. A logistic regression on sums of these hit scores
+gives the document's score.
 
 Only labelled rows are sampled: at most FIT_ROWS of them, in the order of a hash of their id, leaving out held-out rows
 (CRC-32 of the id as text divisible by 5). Labels, language, source and id are no inputs of a score. All texts are read
@@ -30,12 +32,18 @@ from prosemill.llm._spark import ship, staged
 FIT_ROWS = 8_000
 LEARNED_TERMS = 300
 MIN_DF, MIN_PRECISION = 5, 0.8
-MIN_FUZZY = 6
+MIN_FUZZY, MIN_FUZZY_BEGINNING = 4, 6
+NEAR = 0.75
 WINDOW = 4
 PREFIX_CHARS = (3, 7)
 
 #: A general list of insults.
 INSULTS = "idiot worthless moron trash scum pathetic loser clown disgusting stupid dumb imbecile jerk bastard bitch asshole retard vermin filth coward freak cretin idiota estúpido imbécil basura connard salaud abruti ordure arschloch dummkopf abschaum trottel".split()
+#: Ordinary words at distance 1 of an insult.
+ORDINARY = """idiom crash brash thrash crown blown flown clows down lose loses laser lower loner poser closer looser user boron moran maroon baron
+scam scud slum swum scrum sum cum dump numb dub dumbo perk jerk jeri berk pitch ditch hitch witch batch botch butch birch itch fifth firth tilth
+break wreak creak regard retire toward howard cowards bordure ordre salad salauds basuras vermis apathetic bastardo creatin tretin cretan
+moral moran macron mormon loper loved loner lover losel""".split()
 #: Words of saying, and words of address.
 SAYING = "said says say wrote writes quoted quote quotes called calls word words term terms phrase insult example dit disait mot écrit sagte sagt wort schrieb dijo dice palabra escribió".split()
 ADDRESS = "you your you're youre u ur are such tu toi es vous du dich bist ihr tú eres usted".split()
@@ -57,18 +65,21 @@ class Automaton:
     """Deterministic product of the lexicon's trie and Levenshtein automata.
 
     step[state, letter class] is the next state, 0 if no term can follow. whole[state] is the term (+ 1) accepted at the
-    end of a word, near[state] whether with an error, begun[state] the term (+ 1) of which the word has the beginning.
+    end of a word, near[state] whether with an error, begun[state] the term (+ 1) of which the word has the beginning,
+    almost[state] that of which it has the beginning with an error. Ordinary words match exactly, and are no term.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], ordinary: list[str] = ORDINARY):
         self.terms = terms
+        terms = [*terms, *((w, False) for w in ordinary)]
+        known = len(self.terms)
         children: list[dict[int, int]] = [{}]
         ends: list[int] = [0]  # term + 1
         begins: list[int] = [0]
         fuzzy: list[bool] = [False]  # whether a term with errors goes through the node
         for i, (term, is_prefix) in enumerate(terms):
             node, word = 0, lowered(np.frombuffer(term.encode(), np.uint8)).tolist()
-            allow = not is_prefix and len(word) >= MIN_FUZZY
+            allow = i < known and len(word) >= (MIN_FUZZY_BEGINNING if is_prefix else MIN_FUZZY)
             fuzzy[0] |= allow
             for letter in word:
                 if letter not in children[node]:
@@ -104,20 +115,25 @@ class Automaton:
                                 out.add((skipped, 1))  # a letter too few
             return frozenset(x for x in out if not x[1] or (x[0], 0) not in out)
 
-        def long_enough(node: int) -> bool:
-            return bool(ends[node]) and len(lowered(np.frombuffer(terms[ends[node] - 1][0].encode(), np.uint8))) >= MIN_FUZZY
+        def long_enough(ends: list[int], node: int, least: int) -> bool:
+            return 0 < ends[node] <= known and len(lowered(np.frombuffer(terms[ends[node] - 1][0].encode(), np.uint8))) >= least
 
-        def accepts(state: frozenset) -> tuple[int, bool, int]:
+        def close(ends: list[int], state: frozenset, least: int) -> int:
+            found = [ends[n] for n, e in state if e and long_enough(ends, n, least)]
+            found += [ends[c] for n, e in state if not e for c in children[n].values() if long_enough(ends, c, least)]
+            return min(found, default=0)
+
+        def accepts(state: frozenset) -> tuple[int, bool, int, int]:
             begun = next((begins[n] for n, e in state if not e and begins[n]), 0)
+            almost = close(begins, state, MIN_FUZZY_BEGINNING)
             exact = next((ends[n] for n, e in state if not e and ends[n]), 0)
             if exact:
-                return exact, False, begun
-            close = [ends[n] for n, e in state if e and long_enough(n)]
-            close += [ends[c] for n, e in state if not e for c in children[n].values() if long_enough(c)]
-            return min(close, default=0), bool(close), begun
+                return exact if exact <= known else -1, False, begun, almost
+            whole = close(ends, state, MIN_FUZZY)
+            return whole, bool(whole), begun, almost
 
         start = frozenset({(0, 0)})
-        number, todo, rows, accepted = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)], [(0, False, 0)]
+        number, todo, rows, accepted = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)], [(0, False, 0, 0)]
         for state in todo:
             accepted.append(accepts(state))
             row = []
@@ -132,6 +148,7 @@ class Automaton:
         self.whole = np.array([a[0] for a in accepted], np.int32)
         self.near = np.array([a[1] for a in accepted], bool)
         self.begun = np.array([a[2] for a in accepted], np.int32)
+        self.almost = np.array([a[3] for a in accepted], np.int32)
 
     def run(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens that match, their terms, and whether with an error."""
@@ -142,15 +159,19 @@ class Automaton:
             at = at + 1
             begun, over = self.begun[state], at >= end[token]
             whole = np.where(over & (begun == 0), self.whole[state], 0)
-            term[token] = np.maximum(begun, whole)
-            near[token] = self.near[state] & (whole > 0)
+            sure = (begun > 0) | (whole != 0)
+            # the beginning with an error holds unless the rest of the word tells something else
+            maybe = ~sure & (self.almost[state] > 0) & (term[token] == 0)
+            term[token[maybe]], near[token[maybe]] = self.almost[state[maybe]], True
+            term[token[sure]] = np.maximum(begun, whole)[sure]
+            near[token[sure]] = (self.near[state] & (whole > 0))[sure]
             stay = (state > 0) & ~over & (begun == 0)
             token, at, state = token[stay], at[stay], state[stay]
         hit = np.flatnonzero(term)
         return hit, term[hit] - 1, near[hit]
 
 
-FEATURES = ("log_abuse", "density", "log_hits", "log_quoted", "log_near")
+FEATURES = ("log_abuse", "density", "log_hits", "log_quoted")
 
 
 def _cues(words: list[str]) -> np.ndarray:
@@ -162,8 +183,8 @@ def _cues(words: list[str]) -> np.ndarray:
 _SAYING, _ADDRESS = _cues(SAYING), _cues(ADDRESS)
 
 
-def features(automaton: Automaton, weights: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A row of FEATURES per document."""
+def features(automaton: Automaton, weights: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of FEATURES per document, and its number of hits."""
     low = lowered(data)
     start, end = letter_runs(data, offs)
     first = np.searchsorted(start, offs, "left")
@@ -176,11 +197,13 @@ def features(automaton: Automaton, weights: np.ndarray, data: np.ndarray, offs:
     mark = np.append(_QUOTE[data], False)
     quoted = (np.isin(words, _SAYING) & inside).any(1) | (mark[np.maximum(start[hit] - 1, 0)] & (start[hit] > offs[doc])) & mark[end[hit]]
     aimed = (np.isin(words, _ADDRESS) & inside).any(1)
-    score = weights[term] * np.where(quoted, 0.3, 1.0) * np.where(aimed & ~quoted, 1.25, 1.0)
+    sure = np.where(near, NEAR, 1.0)
+    score = weights[term] * sure * np.where(quoted, 0.3, 1.0) * np.where(aimed & ~quoted, 1.25, 1.0)
     n = len(offs) - 1
-    abuse, close = (np.bincount(doc[w], score[w], minlength=n) for w in (~near, near))
+    abuse = np.bincount(doc, score, minlength=n)
     size = np.maximum(np.diff(first), 1)
-    return np.stack([np.log1p(abuse), np.log1p(100 * abuse / size), np.log1p(np.bincount(doc[~near], minlength=n)), np.log1p(np.bincount(doc[quoted], minlength=n)), np.log1p(close)], 1)
+    x = np.stack([np.log1p(abuse), np.log1p(100 * abuse / size), np.log1p(np.bincount(doc, sure, minlength=n)), np.log1p(np.bincount(doc[quoted], sure[quoted], minlength=n))], 1)
+    return x, np.bincount(doc, minlength=n)
 
 
 def scores(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -192,7 +215,7 @@ def _featurer(shared, keep: list[str]):
         automaton, weights = shared.value[:2]
         for batch in batches:
             for part, data, offs in pieces(batch, "text"):
-                x = features(automaton, weights, data, offs)
+                x, _ = features(automaton, weights, data, offs)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.names.index(k)) for k in keep), *(pa.array(x[:, i]) for i in range(len(FEATURES)))], [*keep, *FEATURES])
 
     return run
@@ -203,10 +226,9 @@ def _scorer(shared):
         automaton, weights, beta = shared.value
         for batch in batches:
             for part, data, offs in pieces(batch, "text"):
-                x = features(automaton, weights, data, offs)
+                x, hits = features(automaton, weights, data, offs)
                 score = scores(x, beta)
-                hits = np.round(np.expm1(x[:, 2])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(hits)], ["doc_id", "held_out", "score", "predicted", "n_hits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(hits.astype(np.int64))], ["doc_id", "held_out", "score", "predicted", "n_hits"])
 
     return run
 
@@ -216,7 +238,7 @@ def _keeper(shared):
         automaton, weights, beta = shared.value
         for batch in batches:
             for part, data, offs in pieces(batch, "text"):
-                yield part.filter(pa.array(scores(features(automaton, weights, data, offs), beta) < 0.5))
+                yield part.filter(pa.array(scores(features(automaton, weights, data, offs)[0], beta) < 0.5))
 
     return run
 
@@ -250,6 +272,25 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
     return chosen[:LEARNED_TERMS]
 
 
+def _near_words(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offs in pieces(batch, "text"):
+                start, end = letter_runs(data, offs)
+                hit, _, near = shared.value.run(lowered(data), start, end)
+                yield part.take(pa.array(np.unique(np.searchsorted(offs, start[hit[near]], "right") - 1)))
+
+    return run
+
+
+def ordinary_words(automaton: Automaton, sample: DataFrame) -> list[str]:
+    """Words near a term that toxic rows don't hold more often than learned terms must."""
+    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+")))
+    df = sample.select("toxic", word.alias("text")).groupBy("text").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    usual = df.where((F.length("text") <= 32) & (F.col("good") > 0) & (F.col("bad") < MIN_PRECISION * (F.col("bad") + F.col("good"))))
+    return sorted(r["text"] for r in usual.select("text").mapInArrow(_near_words(sample.sparkSession.sparkContext.broadcast(automaton)), "text string").collect())  # few: words of FIT_ROWS texts near a term
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Newton's method with a small ridge."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -274,13 +315,14 @@ def fit(docs: DataFrame, labels: DataFrame):
     learned = learn_terms(sample)
     have = {t for t, _, _ in learned}
     terms = learned + [(t, False, 1.0) for t in INSULTS if t not in have]
-    automaton, weights = Automaton([(t, p) for t, p, _ in terms]), np.array([w for _, _, w in terms])
+    kinds, weights = [(t, p) for t, p, _ in terms], np.array([w for _, _, w in terms])
+    automaton = Automaton(kinds, ORDINARY + ordinary_words(Automaton(kinds), sample))
     shared = spark.sparkContext.broadcast((automaton, weights))
     kinds = ", ".join(["toxic int", *(f"{f} double" for f in FEATURES)])
     got = sample.select("text", "toxic").mapInArrow(_featurer(shared, ["toxic"]), kinds).groupBy("toxic", *FEATURES).count().orderBy("toxic", *FEATURES).collect()  # FIT_ROWS at most
     y = np.repeat([r["toxic"] for r in got], [r["count"] for r in got]) if got else np.zeros(0)
     if len(set(y.tolist())) < 2:
-        return automaton, weights, np.array([-2.0, 2.0, 0.5, 0.5, -0.5, 1.5])
+        return automaton, weights, np.array([-2.0, 2.0, 0.5, 0.5, -0.5])
     x = np.repeat([[r[f] for f in FEATURES] for r in got], [r["count"] for r in got], axis=0)
     return automaton, weights, np.round(fit_logistic(x, y), 9)
 

@@ -137,6 +137,22 @@ def test_toxicity(spark, docs, empty):
     assert without_toxic(docs, marks).columns == docs.columns
 
 
+def test_toxicity_of_misspelled_abuse(spark):
+    rows, labels = toxic_rows()
+    spelled = {"you ": "", "idiot": "clwn losr", "disgusting moron": "wrthless mron", "zorgle": "pthetic "}  # of the general list, their beginnings misspelled too
+    for i, text in rows[::6]:
+        for right, wrong in spelled.items():
+            text = text.replace(right, wrong)
+        rows.append((10_000 + i, text))
+    held = {r[0] for r in rows if r[0] >= 10_000}
+    innocent = [(20_000 + i, f"{text} the idiom of a crown toward a ditch break witch crash") for i, text in rows[1:60:6]]
+    table = spark.createDataFrame(rows + innocent, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in toxicity(table, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(out[i]["n_hits"] >= 2 for i in held)
+    assert sum(out[i]["predicted"] for i in held) / len(held) > 0.95
+    assert not any(out[i]["predicted"] or out[i]["n_hits"] for i, _ in innocent)
+
+
 def test_tile_marks_the_longest_first():
     # a word twice in the item: its place is used once
     tiles = tile(np.array([0, 1, 2, 10, 11, 12, 13]), np.array([50, 51, 52, 10, 11, 12, 13]), 3)

@@ -9,6 +9,9 @@ per (task, length), so no length is ever gathered in one task.
 
 Nulls: a null text is an empty one, which is a piece holding the end id alone. Rows with equal ids or texts are packed
 one by one. An empty table gives an empty result. Extra columns are ignored.
+
+With added_tokens, a literal added token of the file in a text (such as <|endoftext|>) gets its own id, as the tokenizers
+library does by default; without, it is split like other text.
 """
 
 from __future__ import annotations
@@ -52,20 +55,30 @@ class Encoder:
     """ids of texts as little-endian uint32 bytes, as the tokenizers library gives them for the file.
 
     For plain byte-level BPE the same vocabulary is run by tiktoken, which is several times faster; a sample is compared
-    with the tokenizers library first, and that library does all the work if the two differ.
+    with the tokenizers library first, and that library does all the work if the two differ. With added_tokens, it also
+    encodes the texts that hold an added token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.fast = self._fast(json.loads(self.tokenizer.to_str()))
-        if self.fast and self.fast.encode_ordinary(_SAMPLE) != self.tokenizer.encode(_SAMPLE, add_special_tokens=False).ids:
+        self.path, self.added_tokens = path, added_tokens
+        self.tokenizer = self._library()
+        spec = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]] if added_tokens else []
+        self.fast, sample = self._fast(spec), _SAMPLE
+        for content in self.added:
+            sample = sample.replace(content, "")
+        if self.fast and self.fast.encode_ordinary(sample) != self.tokenizer.encode(sample, add_special_tokens=False).ids:
             self.fast = None
         if self.fast:
-            self.tokenizer = None  # a worker needs one of them
+            self.tokenizer = None  # a worker needs one of them, unless it meets an added token
+
+    def _library(self):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = not self.added_tokens
+        return tokenizer
 
     @staticmethod
     def _fast(spec: dict):
@@ -80,28 +93,29 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if self.fast:
+        if self.fast and not any(content in text for content in self.added):
             return array("I", self.fast.encode_ordinary(text)).tobytes()
+        self.tokenizer = self.tokenizer or self._library()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, added_tokens: bool) -> Encoder:
+    if (path, added_tokens) not in _encoders:
+        _encoders[path, added_tokens] = Encoder(path, added_tokens)
+    return _encoders[path, added_tokens]
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
-def _cutter(tokenizer: str, window: int, end_id: int, with_ids: bool):
+def _cutter(tokenizer: str, window: int, end_id: int, with_ids: bool, added_tokens: bool):
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, added_tokens).encode, TaskContext.get().partitionId()
         nth = [0] * (window + 1)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -217,12 +231,12 @@ def _placer(shared, names: list[str]):
     return run
 
 
-def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = 0, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
     spark = ship(docs.sparkSession)
     schema = PIECE + (", ids array<int>" if with_ids else "")
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    pieces = staged(source.mapInArrow(_cutter(tokenizer or default_tokenizer(), window, end_id, with_ids), schema), "pieces")
+    pieces = staged(source.mapInArrow(_cutter(tokenizer or default_tokenizer(), window, end_id, with_ids, added_tokens), schema), "pieces")
     per_task = pieces.groupBy("part", "length").agg((F.max("nth") + 1).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -59,7 +59,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added_tokens=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_quality, op4_warc, op5_pii, op6_decontamination, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_packing)}

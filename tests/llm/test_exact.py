@@ -132,6 +132,20 @@ def test_tokens_are_the_library_s(texts):
         assert np.frombuffer(encode.encode(t or ""), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_packing_takes_the_ids_of_the_unchanged_library(spark, texts, tmp_path):
+    from corpus_pipeline import packing
+    from prosemill.llm.queries import op10_packing
+
+    some = [*texts, "a <|endoftext|> b", "<|endoftext|>" * 3, "x" * 50 + "<|endoftext|>", "<|endoftext", "def f():\n    return '<|endoftext|>'\n"]
+    table = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    library = Tokenizer.from_file(default_tokenizer())
+    ids = [library.encode(t or "", add_special_tokens=False).ids + [0] for t in some]
+    want = Counter((i, at, len(x), zlib.crc32(np.array(x[at : at + WINDOW], "<u4").tobytes())) for i, x in enumerate(ids) for at in range(0, len(x), WINDOW))
+    for out in (op10_packing(spark, str(tmp_path)), packing(spark, table, str(tmp_path))):
+        assert Counter((r["doc_id"], r["start"], r["doc_tokens"], r["ids_crc32"]) for r in out.collect()) == want
+
+
 def test_plan_is_best_fit_decreasing():
     import bisect
     import random

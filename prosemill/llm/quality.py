@@ -40,7 +40,7 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     value = np.zeros(n, np.uint32)
     for k in range(GRAM):
-        value[: n - k] |= data[k:].astype(np.uint32) << np.uint32(8 * k)
+        value[: max(n - k, 0)] |= data[k:].astype(np.uint32) << np.uint32(8 * k)
     bucket = (value * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
     inside = np.ones(n, bool)
     for k in range(1, GRAM):

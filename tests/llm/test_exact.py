@@ -90,6 +90,13 @@ def test_quality_base(spark, docs, empty):
     assert quality(empty, trusted).count() == 0
 
 
+@pytest.mark.parametrize("length", range(6))
+def test_quality_of_one_short_text(spark, length):
+    docs = spark.createDataFrame([(1, "abcde"[:length])], "doc_id long, text string").coalesce(1)
+    row = quality(docs, docs.select("doc_id")).first()
+    assert (row["doc_id"], row["word_chars"], row["n_words"], row["kept"]) == (1, length, min(length, 1), False)
+
+
 def test_quality_ratio(spark):
     clean = [(i, "the quick brown fox jumps over the lazy dog and then it sleeps in the warm sun until evening number " + str(i)) for i in range(60)]
     junk = [(100 + i, " ".join(f"x{i}q{k}%%%" for k in range(30))) for i in range(20)]

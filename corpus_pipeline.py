@@ -42,7 +42,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
 
-#: SQL can't express the learned, sketching and tokenising stages; tests/llm compare the run with a brute-force version.
+#: SQL can't express the learned, sketching and tokenising stages; tests/llm test the operators of the stages one by one, and no test compares the whole run yet.
 ORACLE_SQL = None
 
 

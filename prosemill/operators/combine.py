@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
+from prosemill.sources.staging import staged
 from prosemill.operators.chunking import chunk_passages, target_quantiles
 
 #: Sources in the order of the union, with their labels.
@@ -15,17 +16,20 @@ SOURCES = (("bawe", 0), ("mgtbench_human", 0), ("mgtbench", 1), ("claude", 1), (
 COLUMNS = ("text", "label", "source", "subject", "group_id")
 
 
-def numbered(rows: DataFrame, order: list[Column | str]) -> DataFrame:
-    """row_id from 0 in the given order: numbers in ranges of the order, after the counts of the ranges before."""
-    spread = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(*order)
-    ranked = spread.withColumn("_nth", F.row_number().over(within))
-    sizes = {r["_part"]: r["n"] for r in ranked.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row per partition
-    base, total = {}, 0
-    for part in sorted(sizes):
-        base[part], total = total, total + sizes[part]
-    lookup = F.create_map(*(F.lit(x) for pair in base.items() for x in pair)) if base else F.create_map(F.lit(0), F.lit(0))
-    return ranked.withColumn("row_id", (F.col("_nth") - 1 + lookup[F.col("_part")]).cast("long")).drop("_part", "_nth")
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """row_id from 0 in the given order; rows that are equal in it are numbered by a hash of the whole row.
+
+    The rows are range-partitioned, sorted and written once, as a second run of the sampled ranges could cut them elsewhere.
+    Each partition's rows are numbered after those of the partitions before; a partition has one row in the table of offsets.
+    """
+    keys = [*map(F.col, order), F.xxhash64(*rows.columns)]
+    nth = F.monotonically_increasing_id()  # the partition's number in the upper bits, the row's in the lower 33
+    placed = staged(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", nth), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))  # a row per partition
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.withColumn("row_id", F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).select(*rows.columns, "row_id")
 
 
 def group_ids(source: str, row: Column, file: Column | None = None, key: Column | None = None) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosemill.sources.staging import drop_path, drop_staged, shared_folder, stage_path, staged
+
+__all__ = ["HashFilter", "drop_path", "drop_staged", "fresh", "hash_filter", "shared_folder", "ship", "stage_path", "staged"]
+
 #: A filter of 2**MAX_FILTER_BITS bits is 32 MB: the bound of every filter that is sent to the executors.
 MAX_FILTER_BITS = 28
 #: Workers give freed memory back, and batches are small: texts may be long.
@@ -18,7 +20,10 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.exe
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it, and bounds their memory."""
+    """Lets Python workers import this package from where the driver has it, and bounds their memory.
+
+    The session keeps the smaller Arrow batches: its plans are lazy, so they can't be set back before a result is written.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     for name, value in WORKER_ENV.items():
@@ -32,18 +37,6 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="prosemill-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of our own beside all columns that a table has."""
     taken = {c.lower() for c in df.columns}
@@ -56,28 +49,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/prosemill/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = stage_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Deletes a staged table that no later plan reads."""
-    path, spark = df._staged_path, df.sparkSession
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 class HashFilter:
     """A bit for each value of the leading bits of a 64-bit hash: no false negatives, false positives are verified later."""
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from prosemill.llm.packing import WINDOW, Encoder, default_tokenizer, pack, plan
 from prosemill.llm.pii import mod97, pii, redacted
 from prosemill.llm.quality import quality
-from prosemill.llm.sharding import shard
+from prosemill.llm.sharding import grown, shard, tree
 from prosemill.llm.substring_dedup import COVER, PERIOD, substring_dedup
 from prosemill.llm.suffix_dedup import suffix_dedup
 
@@ -208,6 +208,38 @@ def test_pii(spark, docs, empty):
     assert pii(empty).count() == 0
 
 
+def test_pii_of_many_spans(spark):
+    """The work on a text doesn't grow with the square of its spans."""
+    import time
+
+    text = " ".join(f"10.1.{i % 256}.{i % 250} a{i}@b.cd" for i in range(20_000))
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii(table.limit(1).withColumn("text", table["text"].substr(1, 2000))).collect()
+    began = time.time()
+    row = pii(table).first()
+    assert time.time() - began < 20 and (row["n_ip"], row["n_email"]) == (20_000, 20_000)
+    assert row["base_sha256"] == sha(",".join(base_spans(text)))
+    assert redacted(table).first()["text"] == " ".join(["[IP] [EMAIL]"] * 20_000)
+
+
+def test_redaction_against_plain_python(spark):
+    import random
+
+    rng = random.Random(8)
+    parts = ["a@b.cd", "1.2.3.4", "+1 (017) 555-7713", "4111 1111 1111 1111", " plain é😀 words ", "\n", "password: abcdefghij0123456789", "x" * 1500]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "", "  "]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii(table).collect()}
+    for r in redacted(table).collect():
+        text, at, want = texts[r["doc_id"]], 0, ""
+        found = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans[r["doc_id"]].split(",") if x))
+        for a, b, kind in found:
+            if a >= at:
+                want += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        assert r["text"] == want + text[at:]
+
+
 def test_mod97(spark):
     rows = spark.createDataFrame([("DE89370400440532013000",), ("GB82WEST12345698765432",), ("DE89370400440532013001",)], "v string")
     assert [r[0] for r in rows.select(mod97(rows["v"])).collect()] == [True, True, False]
@@ -232,10 +264,63 @@ def test_sharding(docs, empty):
     assert shard(empty).count() == 0
 
 
+def drawn(key, regions, weights):
+    """The descent in plain Python: the child with the earliest clock, level by level."""
+    import math
+    import struct
+
+    import xxhash
+
+    def uniform(*parts):
+        seed = 42 if key is None else xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+        for x in parts:
+            seed = xxhash.xxh64(x.encode() if isinstance(x, str) else struct.pack("<i", x), seed=seed).intdigest()
+        return ((seed >> 12) + 0.5) / (1 << 52)
+
+    def weight(node):
+        return weights.get(node, 1.0) if isinstance(node, int) else sum(map(weight, node))
+
+    def take(level, path, children):
+        return min((-math.log(uniform(level, *path, n)) / weight(c), n, c) for n, c in children if weight(c) > 0)[1:]
+
+    r, racks = take("region", (), enumerate(regions))
+    k, shards = take("rack", (r,), enumerate(racks))
+    return take("shard", (r, k), [(x, x) for x in shards])[0]
+
+
+@pytest.mark.parametrize("shards, weights", [(24, {}), (7, {}), (1, {}), (30, {3: 2.5, 7: 0.0, 12: 0.0, 13: 0.0, 14: 0.0, 15: 0.0})])
+def test_sharding_descends(spark, shards, weights):
+    keys = [*range(400), 2**63 - 1, -5, None]
+    rows = spark.createDataFrame([(k, "x", "r", "k") for k in keys], "doc_id long, text string, _region string, _rack string")
+    for r in shard(rows, shards, weights=weights).collect():
+        assert r["shard"] == drawn(r["doc_id"], tree(shards), weights)
+        assert r["grown_shard"] == drawn(r["doc_id"], grown(tree(shards), shards), weights) and r["grown_shard"] in (r["shard"], shards)
+        assert weights.get(r["shard"], 1.0) > 0
+    with pytest.raises(ValueError):
+        shard(rows, 2, weights={0: 0.0, 1: 0.0})
+
+
 def test_sharding_weights(spark):
-    rows = spark.range(20_000).selectExpr("id AS doc_id", "'' AS text")
-    plain, heavy = shard(rows, 8), shard(rows, 8, weights={3: 2.0})
-    both = plain.alias("a").join(heavy.alias("b"), "doc_id").selectExpr("a.shard AS before", "b.shard AS after")
-    assert not both.where("before != after and after != 3").count()
-    share = heavy.where("shard = 3").count() / 20_000
-    assert abs(share - 2 / 9) < 0.02
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "'' AS text")
+    rack = lambda s: s // 4
+    plain, heavy, even = ({r["doc_id"]: r["shard"] for r in shard(rows, 24, weights=w).collect()} for w in ({}, {3: 3.0}, {3: 1.5, 2: 0.5}))
+    for k, before in plain.items():
+        after = heavy[k]
+        # rows move into the region, rack and shard that gained weight; what stays in another rack stays in its shard
+        assert after == before or (after // 12, rack(after)) == (0, 0) and (before // 12 != 0 or rack(before) != 0 or after == 3) or before // 12 != after // 12 == 0
+        if before // 12 == 1 and after // 12 == 1:
+            assert after == before
+        assert even[k] == before or rack(before) == rack(even[k]) == 0  # the rack's sum is as it was
+    assert abs(sum(s == 3 for s in heavy.values()) / 40_000 - 3 / 26) < 0.01
+    counts = Counter(plain.values())
+    assert max(abs(counts[s] - 40_000 / 24) for s in range(24)) < 6 * (40_000 / 24) ** 0.5
+
+
+def test_sharding_of_a_hot_row(spark):
+    rows = spark.range(9_000).selectExpr("if(id % 3 = 0, -7, id) AS doc_id", "if(id % 3 = 0, repeat('é', 300000), '') AS text").repartition(6)
+    out = shard(rows).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        assert r["size"] == (600_008 if r["doc_id"] == -7 else 8)
+    assert len(out) == 9_000 and all(sorted(v) == list(range(len(v))) for v in slots.values())

@@ -8,11 +8,15 @@ its score. Kinds and rules, leftmost and without overlap in each kind:
 - secret: a value of 16 characters or more that a word such as `token` or `password` names;
 - cardlike: 13 to 15 digits that pass Luhn, if a word of cards stands near.
 
-Places of all matches of a pattern come from the lengths of what stands between them (split) and of what matched. Texts
-without a kind's telltale character skip its pattern. The patterns use possessive repetition, so a long run of one
+Places of all matches of a pattern are sums of the lengths of what stands between them (split) and of what matched, made
+in a logarithmic number of passes over both; a span's nearby words are the ends of what stands before and after it. Redaction
+cuts texts from blocks of bounded length. So the work on a text grows with its length times the logarithm of its matches.
+Texts without a kind's telltale character skip its pattern. The patterns use possessive repetition, so a long run of one
 character costs one pass.
 
-Nulls and empty texts have no spans. Rows with equal ids or texts are searched one by one.
+Nulls and empty texts have no spans. Rows with equal ids or texts are searched one by one. Very long texts are searched whole.
+Spans of equal start and end of several kinds are all reported. An empty table gives an empty result; columns of our own get
+names that the table doesn't have.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.functions.text import let
 from prosemill.llm._spark import fresh
 
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "cardlike")
@@ -50,20 +55,38 @@ SCORE = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "secre
 THRESHOLD = 0.6
 
 
+def scan(values: Column, combine) -> Column:
+    """The running totals of an array under an associative function: pass k combines values 2**k places apart."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)).cast("double"))).cast("int"))
+
+    def one(totals: Column, k: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            before = F.get(totals, i - F.pow(F.lit(2), k).cast("int"))
+            return F.when(before.isNull(), x).otherwise(combine(before, x))
+
+        return F.transform(totals, at)
+
+    return F.aggregate(passes, values, one)
+
+
 def matches(text: Column, pattern: str, wanted: Column) -> Column:
-    """array<struct<start, value>> of all matches, starts in code points from 0."""
-    none = F.array().cast("array<struct<start:int,value:string>>")
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    start = F.struct(F.lit(0).alias("at"), none.alias("got"))
+    """array<struct<start, value, before, after>> of all matches: starts in code points from 0, and CONTEXT characters around."""
+    none = F.array().cast("array<struct<start:int,value:string,before:string,after:string>>")
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+    def with_ends(b: Column) -> Column:
+        sizes = F.transform(b["found"], lambda v, i: F.length(v) + F.length(F.get(b["gaps"], i)))
+        return F.struct(b["found"].alias("found"), b["gaps"].alias("gaps"), scan(sizes, lambda x, y: x + y).alias("ends"))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + pair["gap"]
-        one = F.struct(begin.cast("int").alias("start"), pair["value"].alias("value"))
-        return F.struct((begin + F.length(pair["value"])).cast("int").alias("at"), F.concat(state["got"], F.array(one)).alias("got"))
+    def placed(b: Column) -> Column:
+        def one(value: Column, i: Column) -> Column:
+            start = (F.get(b["ends"], i) - F.length(value)).cast("int")
+            before, after = F.right(F.get(b["gaps"], i), F.lit(CONTEXT)), F.left(F.get(b["gaps"], i + 1), F.lit(CONTEXT))
+            return F.struct(start.alias("start"), value.alias("value"), before.alias("before"), after.alias("after"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    return F.when(wanted & (F.size(found) > 0), F.aggregate(pairs, start, step, lambda s: s["got"])).otherwise(none)
+        return F.transform(b["found"], one)
+
+    return F.when(wanted, let(let(both, with_ends), placed)).otherwise(none)
 
 
 def digits(value: Column) -> Column:
@@ -85,11 +108,9 @@ def mod97(value: Column) -> Column:
     return (rest == 1) & F.length(plain).between(15, 34)
 
 
-def _context(text: Column, span: Column, words: str) -> Column:
-    """Whether a word of the kind stands within CONTEXT characters before or after."""
-    begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    about = F.concat(text.substr(begin + 1, span["start"] - begin), F.lit(" "), text.substr(span["start"] + F.length(span["value"]) + 1, F.lit(CONTEXT)))
-    return F.lower(about).rlike(f"(?<![\\p{{L}}])(?:{words})")
+def _context(span: Column, words: str) -> Column:
+    """Whether a word of the kind stands within CONTEXT characters before or after, up to the kind's next matches."""
+    return F.lower(F.concat(span["before"], F.lit(" "), span["after"])).rlike(f"(?<![\\p{{L}}])(?:{words})")
 
 
 def proposals(text: Column) -> dict[str, Column]:
@@ -125,7 +146,7 @@ def find(docs: DataFrame, text_column: str = "text", output: str = "found") -> D
         near = NEAR["card" if kind == "cardlike" else kind]
 
         def one(m: Column) -> Column:
-            score = F.lit(SCORE[kind]) + F.when(_context(text, m, near), F.lit(0.3)).otherwise(F.lit(0.0))
+            score = F.lit(SCORE[kind]) + F.when(_context(m, near), F.lit(0.3)).otherwise(F.lit(0.0))
             return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
         spans = F.transform(valid[kind], one)
@@ -150,17 +171,32 @@ def pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     return rows.select("doc_id", *(number(k) for k in BASE), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.round(mean, 6).alias("score"))
 
 
+BLOCK = 1024
+
+
+def _cut(blocks: Column, begin: Column, end: Column) -> Column:
+    """The characters from begin to end (from 0, end exclusive) of a text that is given in blocks of BLOCK characters."""
+    first = F.floor(begin / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+    return F.when(end > begin, some.substr((begin - first * BLOCK + 1).cast("int"), (end - begin).cast("int"))).otherwise("")
+
+
 def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows with each span replaced by its kind in brackets; spans that overlap become one, named by the first."""
-    (found,) = fresh(docs, "_found")
+    found, blocks, spans = fresh(docs, "_found", "_blocks", "_spans")
     rows = find(docs, text_column, found)
     text = F.coalesce(F.col(text_column), F.lit(""))
     by_start = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["parts"], F.array(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
 
-    new = F.aggregate(by_start, state, step, lambda a: F.concat(F.array_join(a["parts"], ""), text.substr(a["at"] + 1, F.length(text))))
-    return rows.withColumn(text_column, F.when(F.size(found) > 0, new).otherwise(F.col(text_column))).drop(found)
+    def merged(both: Column) -> Column:
+        """Spans that begin after all others before have ended, with where these ended (from)."""
+        each = F.transform(both["spans"], lambda s, i: F.struct(F.coalesce(F.get(both["ends"], i - 1), F.lit(0)).alias("from"), s["start"].alias("start"), s["kind"].alias("kind")))
+        return F.filter(each, lambda s: s["start"] >= s["from"])
+
+    with_ends = let(by_start, lambda b: F.struct(b.alias("spans"), scan(F.transform(b, lambda s: s["end"]), lambda x, y: F.greatest(x, y)).alias("ends")))
+    some = F.size(found) > 0
+    rows = rows.withColumn(blocks, F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    rows = rows.withColumn(spans, F.when(some, let(with_ends, lambda w: F.struct(merged(w).alias("kept"), F.element_at(w["ends"], -1).alias("last")))))
+    parts = F.transform(F.col(spans)["kept"], lambda s: F.concat(_cut(F.col(blocks), s["from"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    new = F.concat(F.array_join(parts, ""), _cut(F.col(blocks), F.col(spans)["last"], F.length(text)))
+    return rows.withColumn(text_column, F.when(some, new).otherwise(F.col(text_column))).drop(found, blocks, spans)

@@ -203,5 +203,37 @@ def test_warc(spark, tmp_path):
     payloads = {r["metadata"]["page_id"]: bytes(r["main"]["payload"]) for r in full}
     assert payloads[0].decode() == body and payloads[5].decode() == rows[5][2]
     assert all(r["request"]["uri"] == r["main"]["uri"] for r in full)
+    by_page = {r["metadata"]["page_id"]: r["main"] for r in read_archives(spark, str(tmp_path / "one")).collect()}
+    assert by_page[1]["refers_to"] == by_page[None]["refers_to"] == by_page[0]["record_id"] and by_page[7]["refers_to"] == by_page[6]["record_id"]
     write_archives(pages.where("false"), str(tmp_path / "two"))
     assert warc(pages.where("false"), str(tmp_path / "three")).count() == 0
+
+
+def test_warc_archives_are_bounded_and_plain(spark, tmp_path, monkeypatch):
+    """Archives of bounded size that any gzip reader takes, with a payload above 16 MB, repeated page ids and a hot payload."""
+    import gzip
+    import hashlib
+    import subprocess
+
+    from prosemill.llm import warc as module
+
+    rng = np.random.default_rng(1)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    rows = [(i, f"http://x/{i}", noise(3_000 + 40 * i)) for i in range(60)] + [(100, "http://x/long", "z" * 17_000_000), (101, "u", "z" * 17_000_000)]
+    rows += [(5, "http://x/5", rows[5][2]), (200, "http://x/200", rows[5][2])] + [(300 + i, "hot", rows[7][2]) for i in range(80)]
+    path = str(tmp_path / "w")
+    monkeypatch.setattr(module, "ARCHIVE_BYTES", 50_000)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = module.warc(pages, path).collect()
+    files = sorted((tmp_path / "w").glob("*.txt"))
+    assert len(files) >= 3 and all(subprocess.run(["gzip", "-tc"], stdin=f.open("rb")).returncode == 0 for f in files)
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    assert raw.count(b"WARC/1.1\r\nWARC-Type: response") == 62 and raw.count(b"WARC-Refers-To: ") == 81
+    by_page = {}
+    for r in out:
+        by_page.setdefault(r["page_id"], []).append(r)
+    for i, _, html in rows:
+        for r in by_page[i]:
+            assert (r["payload_bytes"], r["payload_digest"]) == (len(html), hashlib.sha256(html.encode()).hexdigest())
+    assert [r["record_type"] for r in by_page[5]] == ["response"] * 2 and by_page[200][0]["refers_to"] == 5
+    assert by_page[101][0]["refers_to"] == 100 and {by_page[300 + i][0]["refers_to"] for i in range(80)} == {7}

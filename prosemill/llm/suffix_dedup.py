@@ -6,21 +6,24 @@ begin one are sorted.
 1. Each start of a string of LENGTH bytes has an anchor, the place with the least hash of 8 bytes among its first SPREAD
    places, so equal strings have equal anchors. The hashes of the LENGTH - SPREAD + 1 bytes from each anchor are counted;
    those met twice or more go into a filter of bounded size.
-2. Suffixes at the starts of one anchor make a stretch. Stretches that pass the filter are suffix records with two keys:
-   the leading eight bytes and the hash of the rest. Spark's sampled splitters range-partition them by leading bytes,
-   buckets are sorted locally by one key after the other, and equal neighbours are marked, also across the buckets'
-   boundaries: the first and the last record of each bucket are compared with those of the others. A marked stretch is
-   repeated as a whole, so one record serves up to SPREAD suffixes.
+2. Suffixes at the starts of one anchor make a stretch. Stretches that pass the filter are suffix records, with their
+   leading 32 bytes as four tokens of eight and a hash of all their bytes. Spark's sampled splitters range-partition them by
+   the leading tokens into buckets of BUCKET_ROWS rows on average. A bucket is sorted by multikey quicksort, vectorised: the
+   first token parts it into runs of equal ones, only runs of two or more are sorted by the next token, and so on to the
+   hash. Equal neighbours are marked, also across the buckets' boundaries: the first and the last record of each bucket
+   are compared with those of the others. A marked stretch is repeated as a whole, so one record serves up to SPREAD suffixes.
 3. What is left are the edges of matches. A stretch goes on, cut into blocks of BLOCK suffixes, if other stretches have the
    bytes in common that all its suffixes share; of equal stretches one goes on. Blocks are sorted and compared in the same
    way, and at last the single suffixes of the blocks that are left.
 4. Covered bytes are removed. Only texts that a second filter lets pass travel to meet their spans.
 
-A record's place is part of the sort order, so a string that a third of the corpus repeats is dealt to many buckets.
-False positives of the filters only add records that match nothing.
+A record's place is part of the splitters' order, so a string that a third of the corpus repeats is dealt to many buckets.
+Common bytes that many stretches share are looked up in a written table, a join that Spark can split. False positives of
+the filters only add records that match nothing.
 
 Nulls and empty texts have no bytes. Rows that repeat an id and a text are copies of each other like any other equal
-texts; spans are kept apart by id and CRC-32. Texts under LENGTH bytes lose nothing.
+texts; spans are kept apart by id and CRC-32. Texts under LENGTH bytes lose nothing. A text of any length is one buffer of
+its own, so nothing is cut at its inside. An empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ LENGTH = 400
 SPREAD = 128
 BLOCK = 32
 GRAM = 8
+TOKENS = 4
+BUCKET_ROWS = 300_000
 NO_ID = 2**63 - 1
 
 
@@ -99,7 +104,10 @@ def _anchor_sender(length: int):
     return run
 
 
-RECORD = "lead long, rest long, common long, doc_id long, crc long, start int, more int"
+KEYS = [f"token{k}" for k in range(TOKENS)] + ["rest"]
+PLACE = ["doc_id", "crc", "start"]
+COLUMNS = [*KEYS, "common", *PLACE, "more"]
+RECORD = ", ".join(f"{c} {'int' if c in ('start', 'more') else 'long'}" for c in COLUMNS)
 
 
 def _records(part: pa.RecordBatch, s: Stretches, at: np.ndarray, last: np.ndarray, common: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -108,10 +116,11 @@ def _records(part: pa.RecordBatch, s: Stretches, at: np.ndarray, last: np.ndarra
     crcs = part.column(1).to_numpy(zero_copy_only=False)
     for lo in range(0, len(at), 20_000):
         few = slice(lo, lo + 20_000)
+        # tokens are turned so that signed order is byte order
+        tokens = [signed(s.lead[at[few] + GRAM * k] ^ np.uint64(1 << 63)) for k in range(TOKENS)]
         rest = s.rolling.hash(at[few], last[few] + s.length)
-        lead = s.lead[at[few]] ^ np.uint64(1 << 63)  # so that signed order is byte order
-        arrays = [signed(lead), signed(rest), signed(common[few]), ids[doc[few]], crcs[doc[few]], (at[few] - s.offs[doc[few]]).astype(np.int32), (last[few] - at[few]).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["lead", "rest", "common", "doc_id", "crc", "start", "more"])
+        arrays = [*tokens, signed(rest), signed(common[few]), ids[doc[few]], crcs[doc[few]], (at[few] - s.offs[doc[few]]).astype(np.int32), (last[few] - at[few]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], COLUMNS)
 
 
 def _places(part: pa.RecordBatch, s: Stretches, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -165,69 +174,71 @@ def _block_sender(anchors: HashFilter, stretch_places: HashFilter, length: int,
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks records that are equal to a neighbour in a sorted bucket; a batch is held until the next one has come."""
-
-    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return batch.column(0).to_numpy(), batch.column(1).to_numpy()
-
-    def done(batch: pa.RecordBatch, before, after) -> pa.RecordBatch:
-        lead, rest = keys(batch)
-        n = len(lead)
-        as_before, as_after = np.zeros(n, bool), np.zeros(n, bool)
-        same = (lead[1:] == lead[:-1]) & (rest[1:] == rest[:-1])
-        as_before[1:], as_after[:-1] = same, same
-        edge = np.zeros(n, bool)
-        if before is None:
-            edge[0] = True
-        else:
-            as_before[0] = before == (lead[0], rest[0])
-        if after is None:
-            edge[-1] = True
-        else:
-            as_after[-1] = after == (lead[-1], rest[-1])
-        extra = [as_before | as_after, ~as_before, edge]
-        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in extra)], [*batch.schema.names, "repeated", "leads", "edge"])
-
-    held, before = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            lead, rest = keys(batch)
-            yield done(held, before, (lead[0], rest[0]))
-            a, b = keys(held)
-            before = (a[-1], b[-1])
-        held = batch
-    if held is not None:
-        yield done(held, before, None)
+def multikey_sort(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the records by one key after the other, and where in it a record differs from the one before.
+
+    Runs of equal records are sorted by the next key, all at once; those that are alone are done.
+    """
+    order = np.argsort(keys[0], kind="stable")
+    head = np.ones(len(order), bool)
+    head[1:] = keys[0][order[1:]] != keys[0][order[:-1]]
+    for key in keys[1:]:
+        run = np.cumsum(head) - 1
+        tied = np.flatnonzero(np.bincount(run)[run] > 1) if len(run) else run
+        if not len(tied):
+            break
+        among = order[tied]
+        order[tied] = among[np.lexsort((key[among], run[tied]))]
+        value = key[order[tied]]
+        head[tied[1:]] |= value[1:] != value[:-1]
+    return order, head
+
+
+def _sorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket in order, with `repeated` for records that are equal to a neighbour, `leads` for the first of equal ones and `edge` for the first and last of all."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    order, head = multikey_sort([table.column(k).to_numpy() for k in KEYS])
+    repeated = ~head
+    repeated[:-1] |= ~head[1:]
+    edge = np.zeros(len(order), bool)
+    edge[[0, -1]] = True
+    for lo in range(0, len(order), 20_000):
+        few = slice(lo, lo + 20_000)
+        rows = table.take(pa.array(order[few])).combine_chunks().to_batches()[0]
+        yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x[few]) for x in (repeated, head, edge))], [*COLUMNS, "repeated", "leads", "edge"])
 
 
 def compared(records: DataFrame, name: str) -> DataFrame:
     """The records with `repeated`, and `leads` for the first of equal ones in a bucket. Range partition, local sort, neighbours."""
-    order = ["lead", "rest", "doc_id", "crc", "start"]
     kept = staged(records, f"{name}-records")
-    buckets = kept.repartitionByRange(*order).sortWithinPartitions(*order)
-    out = staged(buckets.mapInArrow(_compare, RECORD + ", repeated boolean, leads boolean, edge boolean"), name)
+    buckets = max(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // BUCKET_ROWS))
+    ranged = kept.repartitionByRange(buckets, *KEYS[:TOKENS], *PLACE)
+    out = staged(ranged.mapInArrow(_sorter, RECORD + ", repeated boolean, leads boolean, edge boolean"), name)
     drop_staged(kept)
     # two records of each bucket at most
-    across = out.where("edge").groupBy("lead", "rest").count().where("count > 1").select("lead", "rest", F.lit(True).alias("across"))
-    return out.join(F.broadcast(across), ["lead", "rest"], "left").withColumn("repeated", F.col("repeated") | F.coalesce("across", F.lit(False))).drop("across", "edge")
+    across = out.where("edge").groupBy(*KEYS).count().where("count > 1").select(*KEYS, F.lit(True).alias("across"))
+    marked = out.join(F.broadcast(across), KEYS, "left").withColumn("repeated", F.col("repeated") | F.coalesce("across", F.lit(False))).drop("across", "edge")
+    marked._staged_path = out._staged_path
+    return marked
 
 
 def going_on(records: DataFrame, name: str) -> HashFilter:
     """The places to look at more closely: records that aren't repeated, if others have their common bytes, with those others."""
     candidates = records.where("not repeated or leads")
     shared = candidates.groupBy("common").agg(F.count("*").alias("n"), F.min("repeated").alias("all_repeated")).where("n > 1 and not all_repeated").select("common")
-    found = candidates.join(shared, "common", "left_semi").select("doc_id", "crc", "start").mapInArrow(place_keys, "place long").distinct()
+    shared = staged(shared, f"{name}-common")  # a table of its own, so that Spark can split frequent common bytes in the join
+    found = candidates.join(shared, "common", "left_semi").select(*PLACE).mapInArrow(place_keys, "place long").distinct()
     places = staged(found, name)
     out = hash_filter(places, "place", places.count())
-    drop_staged(places)
+    drop_staged(places, shared)
     return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, crc, codes): start * SPREAD + extent of stretches whose strings of `length` bytes are all repeated. docs: doc_id, crc, text."""
+    """(doc_id, crc, codes, row_key), written: start * SPREAD + extent of stretches whose strings of `length` bytes are all repeated. docs: doc_id, crc, text."""
     sent = docs.mapInArrow(_anchor_sender(length), "anchor long, n long")
     shared = staged(sent.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
     anchor_filter = hash_filter(shared, "anchor", shared.count())
@@ -239,7 +250,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     suffixes = compared(docs.mapInArrow(_block_sender(anchor_filter, stretch_places, length, block_places), RECORD), "suffixes")
     code = (F.col("start").cast("long") * SPREAD + F.col("more")).alias("code")
     marked = [x.where("repeated").select("doc_id", "crc", code) for x in (stretches, parts, suffixes)]
-    return marked[0].unionByName(marked[1]).unionByName(marked[2]).groupBy("doc_id", "crc").agg(F.collect_set("code").alias("codes"))
+    codes = marked[0].unionByName(marked[1]).unionByName(marked[2]).groupBy("doc_id", "crc").agg(F.collect_set("code").alias("codes"))
+    out = staged(codes.withColumn("row_key", F.xxhash64("doc_id", "crc")), "spans")
+    drop_staged(stretches, parts, suffixes)
+    return out
 
 
 def _remover(shared: HashFilter):
@@ -284,7 +298,7 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), text.alias("text"))
-    found = staged(repeated_spans(source, length).withColumn("row_key", F.xxhash64("doc_id", "crc")), "spans")
+    found = repeated_spans(source, length)
     span_filter = hash_filter(found, "row_key", found.count())
     known = F.coalesce("doc_id", F.lit(NO_ID))
     keyed = source.select("doc_id", "crc", F.xxhash64(known, "crc").alias("row_key"), "text")

@@ -15,7 +15,7 @@ from prosemill.llm.pii import mod97, pii, redacted
 from prosemill.llm.quality import quality
 from prosemill.llm.sharding import grown, shard, tree
 from prosemill.llm.substring_dedup import COVER, PERIOD, substring_dedup
-from prosemill.llm.suffix_dedup import suffix_dedup
+from prosemill.llm.suffix_dedup import multikey_sort, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,6 +55,40 @@ def test_substring_dedup(docs, empty, window):
     assert substring_dedup(empty).count() == 0
 
 
+def test_multikey_sort():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 50, 3000):
+        keys = [rng.integers(-3, 3, n) for _ in range(5)]
+        order, head = multikey_sort(keys)
+        rows = list(zip(*(k[order].tolist() for k in keys), strict=True))
+        assert rows == sorted(zip(*(k.tolist() for k in keys), strict=True)) and sorted(order.tolist()) == list(range(n))
+        assert head.tolist() == [k == 0 or rows[k] != rows[k - 1] for k in range(n)]
+
+
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    """Texts above the size of a buffer, a hot text, and buckets so small that equal records stand on both sides of boundaries."""
+    import random
+
+    from prosemill.llm import suffix_dedup as module
+
+    rng = random.Random(12)
+    monkeypatch.setattr(module, "BUCKET_ROWS", 40)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop \né") for _ in range(n))
+    long, passage, hot = noise(260_000), noise(700), noise(900)
+    texts = [long, noise(300) + long[1000:90_000] + noise(50), "ab" * 3000, "x" * 5000, noise(120_000) + passage + noise(120_000) + passage] + [noise(rng.randrange(50)) + hot for _ in range(60)] + [hot[:400], hot[1:401] + "q", hot[:399]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    raw = [t.encode() for t in texts]
+    seen = Counter(b[k : k + 400] for b in raw for k in range(len(b) - 399))
+    want = {}
+    for i, b in enumerate(raw):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        want[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), sha(bytes(np.frombuffer(b, np.uint8)[~gone])))
+    assert {r["doc_id"]: tuple(r)[1:] for r in module.suffix_dedup(table).collect()} == want
+
+
 def test_suffix_dedup(docs, empty):
     rows = [(i, (t or "").encode()) for i, t in rows_of(docs)]
     seen = Counter(b[k : k + 400] for _, b in rows for k in range(len(b) - 399))

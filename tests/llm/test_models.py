@@ -87,6 +87,41 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(empty).count() == 0 and without_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_behind_unrelated_texts(spark):
+    """Near copies in buckets that unrelated texts lead, and chains of which only neighbours match."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(5000)}"
+
+    def changed(words, share):
+        out = list(words)
+        for at in rng.sample(range(len(out)), int(share * len(out))):
+            out[at] = word()
+        return out
+
+    passage = [word() for _ in range(70)]
+    texts = [passage + [word() for _ in range(60)] for _ in range(60)]
+    copies = [changed(t, 0.03) for t in texts[30:]]
+    chain = [[word() for _ in range(150)]]
+    for _ in range(6):
+        chain.append(changed(chain[-1], 0.05))
+    everything = texts + copies + chain
+    rng.shuffle(everything)
+    pairs = [(j, i) for i, a in enumerate(everything) for j, b in enumerate(everything[:i]) if len(set(a) & set(b)) > 0.6 * len(set(a)) and edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+    want = classes_of(pairs, len(everything))
+    assert len(set(want)) == 61
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(everything)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(table).collect()} == dict(enumerate(want))
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(22)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(40_000)]
+    near = list(long)
+    del near[100:900]
+    table = spark.createDataFrame([(3, " ".join(long)), (5, " ".join(near)), (7, " ".join(long[20_000:])), (9, "w1 w2")], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(table).collect()} == {3: 3, 5: 3, 7: 7, 9: 9}
+
+
 def test_automaton():
     terms = [("scum", False), ("disgusting", False), ("worthless", False), ("vequ", True)]
     automaton = Automaton(terms)

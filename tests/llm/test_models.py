@@ -4,8 +4,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
-from prosemill.llm.decontamination import decontamination, tile, without_contaminated
+from prosemill.llm.decontamination import decontamination, tile, tile_by_bisection, without_contaminated
 from prosemill.llm.near_dedup import aligned, components, near_duplicates, without_near_duplicates
 from prosemill.llm.toxicity import Automaton, lowered, toxicity, without_toxic
 from prosemill.llm.warc import read_archives, warc, write_archives
@@ -194,6 +195,80 @@ def test_tile_marks_the_longest_first():
     assert sorted(t[2] for t in tiles) == [5, 6]
 
 
+def tiled(item, doc, width):
+    """Greedy string tiling word by word: the longest common run of free places, the first in the item and then in the document."""
+    here, there, tiles = set(), set(), []
+    while True:
+        best = (width - 1, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and i + n not in here and j + n not in there:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        if best[0] < width:
+            return tiles
+        tiles.append((best[1], best[2], best[0]))
+        here.update(range(best[1], best[1] + best[0]))
+        there.update(range(best[2], best[2] + best[0]))
+
+
+def test_tiles_against_plain_python():
+    rng = random.Random(13)
+    for k in range(60):
+        letters = rng.choice([1, 2, 3, 6])
+        item, doc = ([rng.randrange(letters) for _ in range(rng.randrange(40))] for _ in range(2))
+        width = rng.choice([2, 3, 4])
+        want = tiled(item, doc, width)
+        seeds = [(i, j) for i in range(len(item) - width + 1) for j in range(len(doc) - width + 1) if item[i : i + width] == doc[j : j + width]]
+        a, b = (np.array([x + 7 for x in t], np.uint64) * np.uint64(0x9E3779B97F4A7C15) for t in (item, doc))
+        assert tile_by_bisection(a, b, width) == want
+        if seeds:
+            assert tile(*(np.array(x) for x in zip(*seeds, strict=True)), width) == want
+
+
+@pytest.mark.parametrize("pairs", [2_000_000, 300, 20])
+def test_decontamination_against_plain_python(spark, monkeypatch, pairs):
+    from prosemill.llm import decontamination as module
+
+    monkeypatch.setattr(module, "PAIRS", pairs)
+    rng = random.Random(14)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(3))
+    items = [[word() for _ in range(rng.randrange(6, 40))] for _ in range(12)] + [["x"] * 30, ["a", "b", "c"], ["q1"], [], ["a", "b", "c"]]
+    docs = []
+    for _ in range(25):
+        parts = [word() for _ in range(rng.randrange(20))]
+        for _ in range(rng.randrange(4)):
+            item = rng.choice(items[:12])
+            cut = rng.randrange(len(item))
+            parts += rng.choice([item, item[cut:] + ["zz"] + item[:cut], item[: len(item) // 2]])
+        docs.append(parts)
+    docs += [["x"] * 200, ["x"] * 20, "so a b c d a b c".split(), ["q1"], [], [word() for _ in range(20)] + ["x"] * 40 + items[0] * 5]
+    want = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            if 0 < len(item) < 6:
+                if any(doc[k : k + len(item)] == item for k in range(len(doc))):
+                    want.add((d, i, len(item), 1))
+            elif item:
+                tiles = tiled(item, doc, 6)
+                if sum(t[2] for t in tiles) >= 0.5 * len(item):
+                    want.add((d, i, sum(t[2] for t in tiles), len(tiles)))
+    table = spark.createDataFrame([(d, ", ".join(doc).upper()) for d, doc in enumerate(docs)] + [(99, None)], "doc_id long, text string").coalesce(2)
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)] + [(99, None)], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["covered_tokens"], r["n_tiles"]) for r in module.decontamination(table, bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_decontamination_of_a_repetitive_text(spark):
+    """A word 60,000 times in a document and 3,000 times in an item: the seed pairs would be 180 million."""
+    table = spark.createDataFrame([(1, "spam " * 60_000), (2, "spam " * 1_400)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "spam " * 3_000)], "item_id long, text string")
+    got = decontamination(table, bench).collect()
+    assert [(r["doc_id"], r["covered_tokens"], r["n_tiles"]) for r in got] == [(1, 3_000, 1)]
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(4)
     item = [f"t{rng.randrange(10**6)}" for _ in range(60)]
@@ -201,7 +276,7 @@ def test_decontamination(spark, docs, empty):
     moved = item[30:] + ["xx"] + item[:30]
     rows = [(1, " ".join(noise[:50] + item + noise[50:])), (2, " ".join(moved)), (3, " ".join(noise + item[:20])), (4, " ".join(noise)), (5, " ".join(x.upper() + "," for x in item)), (6, None), (7, "")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(9, " ".join(item)), (10, None), (11, ""), (12, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(item)), (10, None), (11, ""), (12, "n1x n2x")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination(table, bench).collect()}
     assert set(got) == {(1, 9), (2, 9), (5, 9)}
     assert got[(1, 9)]["coverage"] == 1.0 and got[(2, 9)]["n_tiles"] == 2

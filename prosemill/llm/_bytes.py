@@ -141,10 +141,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def per_doc(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Sums of values (or counts of True) over each document."""
-    kind = np.float64 if values.dtype.kind == "f" else np.int64
-    sums = np.zeros(len(values) + 1, kind)
-    np.cumsum(values, out=sums[1:], dtype=kind)
+    """Sums of whole values (or counts of True) over each document."""
+    sums = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=sums[1:], dtype=np.int64)
     return sums[offs[1:]] - sums[offs[:-1]]
 
 

@@ -6,8 +6,12 @@ corpus (every row). A document's score is its mean log ratio per n-gram, so its
 fail the base rules and its score is at least THRESHOLD. Both counts and scores cover whole texts. Tasks count in
 arrays and send one row per bucket that they met; the driver gets BUCKETS rows.
 
+Log ratios are rounded to multiples of 1 / UNIT, so a document's sum is a whole number and doesn't depend on what else is
+read with it.
+
 Nulls and empty texts have no words, so they fail the base rules; texts under four bytes score 0. Rows with equal ids or
-texts are scored one by one. Without trusted rows all scores are 0 and the base rules decide.
+texts are scored one by one, a score at the threshold is kept. Very long texts are scored whole. Without trusted rows all
+scores are 0 and the base rules decide. An empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ SMOOTHING = 0.5
 PRIOR_GRAMS = 1000
 THRESHOLD = -0.4
 REPEAT_WINDOW = 5
+UNIT = 1 << 24
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -63,7 +68,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log(target / raw) of each bucket. docs: doc_id, text; trusted: at most TRUSTED_ROWS doc_ids."""
+    """log(target / raw) of each bucket, in units of 1 / UNIT. docs: doc_id, text; trusted: at most TRUSTED_ROWS doc_ids."""
     marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left")
     flagged = marked.select("text", F.coalesce("good", F.lit(False)).alias("good"))
     rows = flagged.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
@@ -71,11 +76,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     for r in rows:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
-        return np.zeros(BUCKETS)
+        return np.zeros(BUCKETS, np.int64)
     # the target's prior follows the raw corpus, so a bucket that a small target lacks isn't taken as evidence by itself
     prior = (raw + SMOOTHING) / (raw + SMOOTHING).sum()
     share = (target + PRIOR_GRAMS * prior) / (target.sum() + PRIOR_GRAMS)
-    return np.log(share / prior)
+    return np.rint(np.log(share / prior) * UNIT).astype(np.int64)
 
 
 def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
@@ -105,13 +110,13 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 def _score(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = np.frombuffer(shared.value, np.float64)
+        ratio = np.frombuffer(shared.value, np.int64)
         for batch in batches:
             for part, data, offs in pieces(batch, "text"):
                 out = base_counts(data, offs)
                 bucket, inside = grams(data, offs)
-                sums, n = per_doc(np.where(inside, ratio[bucket], 0.0), offs), per_doc(inside, offs)
-                score = np.round(sums / np.maximum(n, 1), 9)
+                sums, n = per_doc(np.where(inside, ratio[bucket], 0), offs), per_doc(inside, offs)
+                score = np.round(sums / (np.maximum(n, 1) * float(UNIT)), 9)
                 failed = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
                 arrays = [part.column(0), *(pa.array(x.astype(np.int64)) for x in out.values())]
                 arrays += [pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]

@@ -8,7 +8,8 @@ runs; each piece finds its place from its length and its rank among the pieces o
 per (task, length), so no length is ever gathered in one task.
 
 Nulls: a null text is an empty one, which is a piece holding the end id alone. Rows with equal ids or texts are packed
-one by one. An empty table gives an empty result. Extra columns are ignored.
+one by one; of pieces of one length any may take the place of another. A very long text is encoded whole and cut into full
+windows. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 
 With added_tokens, a literal added token of the file in a text (such as <|endoftext|>) gets its own id, as the tokenizers
 library does by default; without, it is split like other text.
@@ -41,7 +42,15 @@ def default_tokenizer() -> str:
 
 #: Fixed value: the split pattern of byte-level BPE.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SAMPLE = "It's 12 o'clock,\tna\u00efve  caf\u00e9\n\n \u4f60\u597d <|endoftext|> x\u00a0 y\U0001f600 we'll  "
+
+
+def _sample() -> str:
+    """Text on which two encoders must agree: contractions, numbers, spaces of all kinds, emoji, combining marks, and words of every script in the first planes."""
+    spaces = "".join(f"a{s * n}b{s * n}\n" for s in " \t\n\r\u00a0\u2003\u3000\u200b" for n in (1, 2, 3, 17))
+    words = " ".join("".join(map(chr, range(at, at + 9))) for at in (*range(0x21, 0xD7F0, 61), *range(0xE000, 0x20000, 487)))
+    signs = "I'm you're it's we'll they'd don't I'VE 'tis 3'd x''s 12 1234567890 1,234.56 ٣٤٥ ²³ Ⅷ ½ a1b2 _x_ __init__ --- ... !?!? <|endoftext|> <|im_start|> http://a.b/c?d=e&f=%20 $x^2$ {\"k\": [1, -2e9]}"
+    emoji = "\U0001f600" * 40 + "\U0001f468\u200d\U0001f469\u200d\U0001f467 \U0001f1e9\U0001f1ea e\u0301\u0302 \ufeff\ufffd \x00\x01\x7f\x85"
+    return "\n".join((signs, spaces, words, emoji, "ab" * 300, "z" * 1000, "9" * 300, " " * 500, "=" * 400)) + "  "
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -65,7 +74,7 @@ class Encoder:
         self.tokenizer = self._library()
         spec = json.loads(self.tokenizer.to_str())
         self.added = [t["content"] for t in spec["added_tokens"]] if added_tokens else []
-        self.fast, sample = self._fast(spec), _SAMPLE
+        self.fast, sample = self._fast(spec), _sample()
         for content in self.added:
             sample = sample.replace(content, "")
         if self.fast and self.fast.encode_ordinary(sample) != self.tokenizer.encode(sample, add_special_tokens=False).ids:

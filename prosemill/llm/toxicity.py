@@ -9,12 +9,15 @@ hits. The words within WINDOW words of a hit say whether it is quoted (words of
 someone. A hit with an error counts NEAR of an exact one everywhere. A logistic regression on sums of these hit scores
 gives the document's score.
 
-Only labelled rows are sampled: at most FIT_ROWS of them, in the order of a hash of their id, leaving out held-out rows
-(CRC-32 of the id as text divisible by 5). Labels, language, source and id are no inputs of a score. All texts are read
-whole.
+The fitted part is bounded by parameters: at most FIT_ROWS labelled ids, in the order of a hash of the id, leaving out
+held-out ones (CRC-32 of the id as text divisible by 5), each with one text (the first in text order where rows share the id);
+of their words and beginnings (of words of 3 to 24 letters, in MIN_DF toxic rows or more, MIN_PRECISION of their rows toxic)
+the CANDIDATES most frequent in toxic rows, and of these the LEARNED_TERMS most telling. Labels, language, source and id are
+no inputs of a score. All texts are scored, and read whole.
 
 Nulls and empty texts have no hits and get the score of such texts. Rows with equal ids or texts are scored one by one; a
-null id counts as held out. Without labels, or with one class only, fixed weights are used.
+null id counts as held out. Very long texts are scored like others. Without labels, or with one class only, fixed weights are
+used. An empty table gives an empty result; other columns stay in `without_toxic`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm._bytes import letter_runs, lower_case, pieces, rolling_bytes
-from prosemill.llm._spark import ship, staged
+from prosemill.llm._spark import drop_staged, ship, staged
 
 FIT_ROWS = 8_000
-LEARNED_TERMS = 300
+CANDIDATES, LEARNED_TERMS = 5_000, 300
 MIN_DF, MIN_PRECISION = 5, 0.8
 MIN_FUZZY, MIN_FUZZY_BEGINNING = 4, 6
 NEAR = 0.75
@@ -52,8 +55,23 @@ _DIGITS = np.arange(256, dtype=np.uint8)
 for _digit, _letter in zip(b"013457", b"oieast", strict=True):
     _DIGITS[_digit] = _letter
 _QUOTE = np.zeros(256, bool)
-_QUOTE[np.frombuffer("\"'`“”«»".encode(), np.uint8)] = True
-_QUOTE[[0xC2, 0xE2, 0x80]] = False
+_QUOTE[np.frombuffer(b"\"'`", np.uint8)] = True
+#: Quotation marks of several bytes.
+_LONG_QUOTES = [x.encode() for x in "“”«»"]
+
+
+def quotes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At which bytes a quotation mark begins, and at which one ends."""
+    begins = _QUOTE[data]
+    ends = begins.copy()
+    for mark in _LONG_QUOTES:
+        there = np.ones(max(len(data) - len(mark) + 1, 0), bool)
+        for k, byte in enumerate(mark):
+            there &= data[k : k + len(there)] == byte
+        at = np.flatnonzero(there)
+        begins[at] = True
+        ends[at + len(mark) - 1] = True
+    return begins, ends
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -194,8 +212,10 @@ def features(automaton: Automaton, weights: np.ndarray, data: np.ndarray, offs:
     inside = (about >= first[doc][:, None]) & (about < first[doc + 1][:, None])
     about = np.where(inside, about, 0)
     words = rolling_bytes(low).hash(start[about], end[about]) if len(hit) else np.zeros(about.shape, np.uint64)
-    mark = np.append(_QUOTE[data], False)
-    quoted = (np.isin(words, _SAYING) & inside).any(1) | (mark[np.maximum(start[hit] - 1, 0)] & (start[hit] > offs[doc])) & mark[end[hit]]
+    begins, ends = quotes(data)
+    after = np.append(begins, False)[end[hit]] & (end[hit] < offs[doc + 1])
+    before = ends[np.maximum(start[hit] - 1, 0)] & (start[hit] > offs[doc])
+    quoted = (np.isin(words, _SAYING) & inside).any(1) | (before & after)
     aimed = (np.isin(words, _ADDRESS) & inside).any(1)
     sure = np.where(near, NEAR, 1.0)
     score = weights[term] * sure * np.where(quoted, 0.3, 1.0) * np.where(aimed & ~quoted, 1.25, 1.0)
@@ -256,7 +276,7 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
     marks = [F.concat(F.col("word"), F.lit("$"))] + [F.when(F.length("word") > k, F.substring("word", 1, k)) for k in range(lo, hi + 1)]
     terms = words.select("doc_id", "toxic", F.explode(F.array(*marks)).alias("term")).where("term is not null").distinct()
     df = terms.groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    rows = df.where((F.col("bad") >= MIN_DF) & (F.col("bad") >= MIN_PRECISION * (F.col("bad") + F.col("good")))).orderBy(F.desc("bad"), "term").limit(5_000).collect()
+    rows = df.where((F.col("bad") >= MIN_DF) & (F.col("bad") >= MIN_PRECISION * (F.col("bad") + F.col("good")))).orderBy(F.desc("bad"), "term").limit(CANDIDATES).collect()
     def odds(r) -> float:
         return float(np.log((r["bad"] + 1) / (r["good"] + 1)))
 
@@ -310,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     spark = docs.sparkSession
     some = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
     sample = staged(rows.withColumns({"opening": F.xxhash64(F.left("text", F.lit(40))), "ending": F.xxhash64(F.right("text", F.lit(40)))}), "toxic-sample")
     learned = learn_terms(sample)
     have = {t for t, _, _ in learned}
@@ -320,6 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     shared = spark.sparkContext.broadcast((automaton, weights))
     kinds = ", ".join(["toxic int", *(f"{f} double" for f in FEATURES)])
     got = sample.select("text", "toxic").mapInArrow(_featurer(shared, ["toxic"]), kinds).groupBy("toxic", *FEATURES).count().orderBy("toxic", *FEATURES).collect()  # FIT_ROWS at most
+    drop_staged(sample)
     y = np.repeat([r["toxic"] for r in got], [r["count"] for r in got]) if got else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return automaton, weights, np.array([-2.0, 2.0, 0.5, 0.5, -0.5])

@@ -140,6 +140,28 @@ def test_quality_ratio(spark):
     assert out.where("doc_id >= 100 and kept").count() == 0
 
 
+def test_quality_scores_against_plain_python(spark, docs):
+    import math
+
+    from prosemill.llm import quality as module
+
+    rows = rows_of(docs)
+    trusted = [r[0] for r in rows if r[0] is not None and r[0] % 3 == 0]
+    grams = [[int.from_bytes(b[k : k + 4], "little") * 2654435761 % 2**32 >> 17 for k in range(len(b) - 3)] for b in ((t or "").encode() for _, t in rows)]
+    raw, good = Counter(g for x in grams for g in x), Counter(g for (i, _), x in zip(rows, grams, strict=True) if i in trusted for g in x)
+    total, target = sum(raw.values()) + module.SMOOTHING * module.BUCKETS, sum(good.values())
+    prior = lambda g: (raw[g] + module.SMOOTHING) / total
+    ratio = lambda g: math.log((good[g] + module.PRIOR_GRAMS * prior(g)) / (target + module.PRIOR_GRAMS) / prior(g))
+    want = sorted((-1 if i is None else i, sum(map(ratio, x)) / max(len(x), 1)) for (i, _), x in zip(rows, grams, strict=True))
+    out = quality(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in out)
+    assert [i for i, _ in got] == [i for i, _ in want] and max(abs(a[1] - b[1]) for a, b in zip(got, want, strict=True)) < 1e-6
+    assert all(r["kept"] == (not r["base_failed"] and r["score"] >= module.THRESHOLD) for r in out)
+    # the scores are the same bit for bit however the rows are dealt
+    again = quality(docs.repartition(1), spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+    assert Counter(map(tuple, out)) == Counter(map(tuple, again))
+
+
 def test_packing(docs, empty):
     library = Tokenizer.from_file(default_tokenizer())
     library.encode_special_tokens = True

@@ -144,6 +144,51 @@ def test_automaton():
     assert got == want
 
 
+def test_features_and_scores_against_plain_python():
+    """Hits by edit distance word by word, quoted and aimed by their windows, and the sums of a document."""
+    from prosemill.llm import toxicity as module
+
+    terms = [("scum", False), ("moron", False), ("worthless", False), ("vequ", True)]
+    weights = np.array([1.0, 0.7, 1.3, 0.9])
+    automaton = Automaton(terms, ["scam", "morons"])
+    rng = random.Random(31)
+    words = ["scum", "scm", "scam", "Moron", "m0ron", "moran", "morons", "worthles", "vequx", "vexu", "the", "house", "you", "are", "said", "wrote", "tree", "blue", '"scum"', "«moron»", "scum,", "été"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(120)] + ["", "scum", "you scum", 'he said "moron" twice']
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    got, hits = module.features(automaton, weights, data, offs)
+
+    def term_of(word):
+        if word in ("scam", "morons"):
+            return None
+        for k, (t, prefix) in enumerate(terms):
+            if word == t or (prefix and word.startswith(t)):
+                return k, 1.0
+        for k, (t, prefix) in enumerate(terms):
+            if not prefix and edit(word, t) == 1:
+                return k, module.NEAR
+        return None
+
+    for n, text in enumerate(texts):
+        runs = [(m[0], m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9é]+", text)]
+        low = [w.lower().translate(str.maketrans("013457", "oieast")) for w, _, _ in runs]
+        abuse = count = quoted_sum = found = 0.0
+        for k, word in enumerate(low):
+            if (hit := term_of(word)) is None:
+                continue
+            about = low[max(0, k - module.WINDOW) : k] + low[k + 1 : k + 1 + module.WINDOW]
+            a, b = runs[k][1], runs[k][2]
+            marks = a > 0 and text[a - 1] in '"«' and b < len(text) and text[b] in '"»'
+            quoted = marks or any(w in module.SAYING for w in about)
+            aimed = any(w in module.ADDRESS for w in about) and not quoted
+            abuse += weights[hit[0]] * hit[1] * (0.3 if quoted else 1.0) * (1.25 if aimed else 1.0)
+            count, quoted_sum, found = count + hit[1], quoted_sum + hit[1] * quoted, found + 1
+        want = np.log1p([abuse, 100 * abuse / max(len(runs), 1), count, quoted_sum])
+        assert hits[n] == found and np.allclose(got[n], want), (text, got[n], want)
+    beta = np.array([-2.0, 1.5, 0.2, 0.4, -0.3])
+    assert np.allclose(module.scores(got, beta), 1 / (1 + np.exp(-(beta[0] + got @ beta[1:]))))
+
+
 def toxic_rows(n=900):
     rng = random.Random(11)
     plain = ["the house", "a river", "blue sky", "we walked", "old trees", "of stone", "and then", "morning light", "quiet road", "they spoke"]

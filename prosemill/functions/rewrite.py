@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,81 +65,90 @@ def is_non_prose(fragment: str) -> bool:
     return not re.search(r"[A-Za-z]{3,}", fragment)
 
 
+#: What a fragment's parts say about it, by name. Tags are none of its words.
+_WORDLIKE = re.compile(r"[A-Za-z]{3,}")
+_FRAGMENT_TAG = re.compile(r"\[\[(?:EQUATION|CODE|CITATION)\]\]")
+
+
+@dataclass(frozen=True)
+class Fragment:
+    """A stretch of text without white space around it, measured once: tags, the lengths of its words of three letters or more, and what is left without tags."""
+
+    text: str
+    tags: int
+    words: tuple[int, ...]
+    bare: str
+
+    @staticmethod
+    def of(text: str) -> Fragment:
+        bare = _FRAGMENT_TAG.sub(" ", text)
+        return Fragment(text.strip(), len(_FRAGMENT_TAG.findall(text)), tuple(len(w) for w in _WORDLIKE.findall(bare)), bare)
+
+
 def clean_pseudocode_and_diagrams(text: str) -> str:
     text = apply(text, R.ARRAY_INDEX + R.DIAGRAMS)
     if "{" in text:
-        whole = text
-
-        def body_of(found: re.Match) -> str:
-            body = found[0][1:-1]
-            if whole[max(found.start() - 1, 0) : found.start()] in ("^", "_"):
-                return found[0]
-            if formatted := re.match(R.LATEX_FORMAT, body, re.DOTALL):
-                return formatted[1].strip()
-            plain = len(body) <= 80 and re.fullmatch(R.SHORT_BODY, body)  # no semicolon is in that class
-            return found[0] if plain else R.CODE
-
-        text = re.sub(R.CODE_BODY, body_of, text)
+        text = re.sub(R.CODE_BODY, lambda found: found[0] if found["kept"] else R.CODE if found["plain"] is None else found["plain"].strip(), text)
     return tidy(apply(text, R.CODE_WORDS))
 
 
-def clean_bare_expressions(text: str) -> str:
-    text = apply(text, R.FACTORIALS)
+#: Signs of mathematics in parentheses, and the sets of them of which one is enough.
+SIGNS = {"arithmetic": re.compile(r"[+\-*/^]"), "relation": re.compile("[=<>]"), "digit": re.compile(r"\d"), "equation": re.compile(r"\[\[EQUATION\]\]"), "code": re.compile(r"\[\[CODE\]\]")}
+EVIDENCE = ({"arithmetic"}, {"equation"}, {"digit", "relation"}, {"digit", "code"})
 
-    def in_parentheses(found: re.Match) -> str:
-        inner = found[1]
-        tagged = "[[EQUATION]]" in inner or "[[CODE]]" in inner
-        operator = re.search(r"[\+\-\*/\^=<>]", inner)
-        mathematical = re.search(r"[\d\+\-\*/\^]", inner) or "[[EQUATION]]" in inner
-        if re.fullmatch(r"\d+", inner.strip()) or not mathematical or not (operator or tagged) or not is_non_prose(inner):
-            return found[0]
-        return R.EQ
 
-    before = None
+def is_mathematical(inner: str) -> bool:
+    """Whether what stands between parentheses has no word and one of the sets of signs."""
+    signs = {name for name, sign in SIGNS.items() if sign.search(inner)}
+    return any(signs >= enough for enough in EVIDENCE) and is_non_prose(inner)
+
+
+def clean_bare_expressions(text: str) -> str:
+    text, before = apply(text, R.FACTORIALS), None
     while before != text and "(" in text:
-        before, text = text, re.sub(r"\(([^()]{1,60})\)", in_parentheses, text)
+        before, text = text, re.sub(r"\(([^()]{1,60})\)", lambda found: R.EQ if is_mathematical(found[1]) else found[0], text)
     return tidy(apply(text, R.BARE_AFTER))
 
 
+#: What makes a stretch between dollars prose or prices, whatever else it holds, and what makes it mathematics otherwise.
+PROSE = (
+    lambda f: re.search(r"\.(?:\s+[A-Z]|\n)", f.text),
+    lambda f: len(f.words) > 2,
+    lambda f: not f.tags and "\\" not in f.text and " " in f.text and max(f.words, default=0) > 3,
+)
+MATHEMATICS = (
+    lambda f: f.tags,
+    lambda f: re.search(R.INLINE_MATH_SIGNS, f.text),
+    lambda f: re.fullmatch("[A-Za-z]{1,4}", f.text),
+)
+
+
 def is_inline_math(inner: str) -> bool:
-    """Whether what stands between two dollar signs is mathematics and not prose or prices."""
-    inner = inner.strip()
-    if not inner or re.search(r"\.\s+[A-Z]", inner) or re.search(r"\.\n", inner):
-        return False
-    tag = r"\[\[(?:EQUATION|CODE|CITATION)\]\]"
-    tagged, bare = bool(re.search(tag, inner)), re.sub(tag, " ", inner)
-    if len(re.findall(r"[A-Za-z]{3,}", bare)) >= 3:
-        return False
-    if re.search(r"[A-Za-z]{4,}", bare) and " " in bare and "\\" not in inner and not tagged:
-        return False
-    return bool(tagged or re.search(R.INLINE_MATH_SIGNS, inner) or re.fullmatch(r"[A-Za-z]{1,4}", bare.strip()) or re.search(r"\b[A-Za-z]{1,6}\s*\([^)]{0,60}\)", inner))
+    fragment = Fragment.of(inner)
+    return any(sign(fragment) for sign in MATHEMATICS) and not any(sign(fragment) for sign in PROSE)
 
 
 def _inline_math(text: str) -> str:
     """Replaces the shortest span that is mathematics, until there is none."""
-    while "$" in text:
-        spans = sorted(re.finditer(R.INLINE_MATH, text), key=lambda found: len(found[1]))
-        chosen = next((s for s in spans if is_inline_math(s[1])), None)
-        if chosen is None:
-            break
-        text = text[: chosen.start()] + R.EQ + text[chosen.end() :]
+    while spans := [span for span in re.finditer(R.INLINE_MATH, text) if is_inline_math(span[1])]:
+        shortest = min(spans, key=lambda span: len(span[1]))
+        text = text[: shortest.start()] + R.EQ + text[shortest.end() :]
     return text
 
 
+#: Words that a sentence with no, one, or more equations needs to be more than these.
+NEEDED_WORDS = (0, 1, 6)
+
+
+def _is_soup(sentence: str) -> bool:
+    rest = sentence.split("[[EQUATION]]")
+    return len(_WORDLIKE.findall("".join(rest))) < NEEDED_WORDS[min(len(rest) - 1, 2)]
+
+
 def _fold_sentences(text: str) -> str:
     """Sentences of tags and next to no words become one tag, and neighbours of that kind one."""
-    kept: list[str] = []
-    folding = False
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        tags = sentence.count("[[EQUATION]]")
-        words = len(re.findall(r"[a-zA-Z]{3,}", sentence.replace("[[EQUATION]]", "")))
-        soup = (tags >= 2 and words < 6) or (tags >= 1 and not words)
-        if not soup:
-            kept.append(sentence)
-        elif not folding:
-            kept.append("[[EQUATION]]")
-        folding = soup
-    return " ".join(kept)
+    runs = groupby(re.split(r"(?<=[.!?])\s+", text), _is_soup)
+    return " ".join("[[EQUATION]]" if soup else " ".join(run) for soup, run in runs)
 
 
 def clean_math_texts(text: str) -> str:
@@ -184,17 +195,11 @@ def _repeated(text: str, times: int, step: Callable[[str], str]) -> str:
 def _dollar_debris(text: str) -> str:
     """Spans between dollars that hold tags or LaTeX signs and next to no words."""
 
-    def decide(found: re.Match) -> str:
-        bare = re.sub(r"\[\[(?:EQUATION|CODE|CITATION)\]\]", " ", found[1])
-        debris = re.search(R.DOLLAR_DEBRIS, found[1]) and len(re.findall(r"[A-Za-z]{3,}", bare)) < 3
-        return R.EQ if debris else found[0]
-
-    return re.sub(R.DOLLAR_SPAN, decide, text) if "$" in text else text
-
+    def folded(found: re.Match) -> str:
+        fragment = Fragment.of(found[1])
+        return R.EQ if len(fragment.words) < 3 and (fragment.tags or re.search(R.DEBRIS_SIGNS, found[1])) else found[0]
 
-def _brace_shells(text: str) -> str:
-    """Short braces without a word."""
-    return re.sub(R.BRACES, lambda found: found[0] if re.search(r"[A-Za-z]{3,}", found[1]) else R.EQ, text) if "{" in text else text
+    return re.sub(R.DOLLAR_SPAN, folded, text) if "$" in text else text
 
 
 def mop_up_leftovers(text: str) -> str:
@@ -204,7 +209,7 @@ def mop_up_leftovers(text: str) -> str:
     text = apply(text, R.DOLLARS)
     for rules in (R.SHELLS, R.COMMANDS):
         text = _repeated(text, 4, lambda t, rules=rules: apply(t, rules))
-    text = _repeated(text, 4, lambda t: apply(_brace_shells(apply(t, R.ALGEBRA)), R.ALGEBRA_AFTER))
+    text = _repeated(text, 4, lambda t: apply(t, R.ALGEBRA + R.ALGEBRA_AFTER))
     return tidy(apply(text, R.ESCAPES))
 
 

@@ -77,16 +77,28 @@ def strip_surrogate_characters(text: Column) -> Column:
 
 
 def strip_placeholders(text: Column) -> Column:
-    """Two passes: closing the gaps of one can only make a tag that the next removes."""
-    text = F.coalesce(text, F.lit(""))
-    for _ in range(2):
-        text = F.trim(rewritten(text, R.STRIP_PLACEHOLDERS))
-    return text
+    """Removes tags and what they leave behind, again while closing gaps makes new tags.
+
+    A pass that finds a tag takes a closing bracket away, so there are no more passes than brackets. Few texts need a second one.
+    """
+
+    def once(t: Column) -> Column:
+        return F.trim(rewritten(t, R.STRIP_PLACEHOLDERS))
+
+    def again(t: Column) -> Column:
+        left = F.sequence(F.lit(1), F.regexp_count(t, F.lit(r"\]")) + 1)
+        return F.when(t.rlike(f"(?U){R.PLACEHOLDER}"), F.aggregate(left, t, lambda state, _: F.when(state.rlike(f"(?U){R.PLACEHOLDER}"), once(state)).otherwise(state))).otherwise(t)
+
+    return let(once(F.coalesce(text, F.lit(""))), again)
 
 
 def count_words(text: Column) -> Column:
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?U){R.PLACEHOLDER}", " ")
-    return F.regexp_count(bare, F.lit(r"(?U)\S+")).cast("int")
+    """Words without tags; the tags are looked for only where a bracket closes."""
+
+    def bare(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("]")), F.regexp_replace(t, f"(?U){R.PLACEHOLDER}", " ")).otherwise(t)
+
+    return F.regexp_count(let(F.coalesce(text, F.lit("")), bare), F.lit(r"(?U)\S+")).cast("int")
 
 
 def tag_count(text: Column, tag: str) -> Column:

@@ -6,39 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
+from prosemill.sources.staging import exploded, fresh
 
 MIN_WORDS, MAX_WORDS = 75, 520
 TARGET_WORDS, MIN_TAIL = 200, 75
 
 
 def pieces(text: Column, max_words: int = MAX_WORDS) -> Column:
-    """Sentences with their word counts; a longer one is cut into windows of words."""
-    cut = F.flatten(F.transform(T.sentences(text), lambda s: F.when(T.count_words(s) > max_words, T.word_windows(s, max_words)).otherwise(F.array(s))))
-    return F.transform(cut, lambda s: F.struct(s.alias("text"), T.count_words(s).alias("n")))
+    """array<struct<text, n>>: sentences with their word counts, each counted once; a longer one is cut into windows of words."""
 
+    def counted(s: Column) -> Column:
+        return F.struct(s.alias("text"), T.count_words(s).alias("n"))
 
-def passages(text: Column, goal_of, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> Column:
-    """array<struct<text, n>>: whole sentences until the goal is best met; a passage closes before a sentence that would
-    overshoot it by more than it falls short. goal_of: passage number (Column) -> words. A tail under min_words is dropped."""
-    empty = F.array().cast("array<struct<text:string,n:int>>")
-    none = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), none.alias("open"), F.lit(0).alias("n"))
+    def cut(piece: Column) -> Column:
+        return F.when(piece["n"] > max_words, F.transform(T.word_windows(piece["text"], max_words), counted)).otherwise(F.array(piece))
 
-    def step(state: Column, piece: Column) -> Column:
+    return F.flatten(F.transform(F.transform(T.sentences(text), counted), cut))
+
+
+def cuts(counts: Column, goal_of) -> Column:
+    """struct<done: array<struct<first, size, n>>, first, size, n>: passages as ranges of pieces, and the open one at the end.
+
+    A passage closes before a piece that would overshoot its goal by more than it falls short. The fold goes over numbers only.
+    """
+    start = F.struct(F.array().cast("array<struct<first:int,size:int,n:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("size"), F.lit(0).alias("n"))
+
+    def step(state: Column, n: Column) -> Column:
         goal = goal_of(F.size(state["done"]))
-        closes = (F.size(state["open"]) > 0) & (state["n"] + piece["n"] - goal > goal - state["n"])
-        passage = F.struct(F.array_join(state["open"], " ").alias("text"), state["n"].alias("n"))
-        return F.struct(
-            F.when(closes, F.concat(state["done"], F.array(passage))).otherwise(state["done"]).alias("done"),
-            F.when(closes, F.array(piece["text"])).otherwise(F.concat(state["open"], F.array(piece["text"]))).alias("open"),
-            F.when(closes, piece["n"]).otherwise(state["n"] + piece["n"]).alias("n"),
+        closes = (state["size"] > 0) & (state["n"] + n - goal > goal - state["n"])
+        passage = F.struct(state["first"].alias("first"), state["size"].alias("size"), state["n"].alias("n"))
+        return F.when(closes, F.struct(F.concat(state["done"], F.array(passage)).alias("done"), (state["first"] + state["size"]).alias("first"), F.lit(1).alias("size"), n.alias("n"))).otherwise(
+            F.struct(state["done"].alias("done"), state["first"].alias("first"), (state["size"] + 1).alias("size"), (state["n"] + n).alias("n"))
         )
 
-    def finish(state: Column) -> Column:
-        tail = F.struct(F.array_join(state["open"], " ").alias("text"), state["n"].alias("n"))
-        return F.when((F.size(state["open"]) > 0) & (state["n"] >= min_words), F.concat(state["done"], F.array(tail))).otherwise(state["done"])
+    return F.aggregate(counts, start, step)
+
 
-    return F.aggregate(F.col("_pieces") if text is None else pieces(text, max_words), start, step, finish)
+def passages(rows: DataFrame, text: Column, goal_of, output: str, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
+    """The rows with output, array<struct<text, n>>: whole sentences until the goal is best met; a tail under min_words is dropped. goal_of: passage number (Column) -> words."""
+    found, at = fresh(rows, "_pieces", "_cuts")
+    rows = rows.withColumn(found, pieces(text, max_words))
+    rows = rows.withColumn(at, cuts(F.col(found)["n"], goal_of))
+    state = F.col(at)
+    tail = F.struct(state["first"].alias("first"), state["size"].alias("size"), state["n"].alias("n"))
+    ranges = F.when((state["size"] > 0) & (state["n"] >= min_words), F.concat(state["done"], F.array(tail))).otherwise(state["done"])
+    texts = F.col(found)["text"]
+    return rows.withColumn(output, F.transform(ranges, lambda r: F.struct(F.array_join(F.slice(texts, r["first"] + 1, r["size"]), " ").alias("text"), r["n"].alias("n")))).drop(found, at)
 
 
 def hashed_goal(targets: list[int], key: Column, seed: int = 42, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS):
@@ -56,24 +69,26 @@ def target_quantiles(ai_rows: DataFrame, steps: int = 200) -> list[int]:
 def chunk_passages(essays: DataFrame, targets: list[int], seed: int = 42, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
     """id, text, subject, chunk_idx. essays: id, text, subject."""
     goal = hashed_goal(targets, F.col("id"), seed, min_words, max_words)
-    staged = essays.withColumn("_pieces", pieces(F.coalesce("text", F.lit("")), max_words))
-    cut = staged.withColumn("_passages", passages(None, goal, min_words, max_words))
-    return cut.select("id", F.posexplode("_passages").alias("chunk_idx", "p"), "subject").select("id", F.col("p.text").alias("text"), "subject", "chunk_idx")
+    cut = passages(essays.select("id", "text", "subject"), F.coalesce("text", F.lit("")), goal, "_passages", min_words, max_words)
+    return exploded(cut, F.col("_passages"), "chunk_idx", "p").select("id", F.col("p.text").alias("text"), "subject", "chunk_idx")
 
 
 def chunk_fixed_goal(essays: DataFrame, goal: int, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
-    staged = essays.withColumn("_pieces", pieces(F.coalesce("text", F.lit("")), max_words))
-    cut = staged.withColumn("_passages", passages(None, lambda i: F.lit(goal), min_words, max_words))
-    return cut.select("id", F.posexplode("_passages").alias("chunk_idx", "p")).select("id", "chunk_idx", F.col("p.text").alias("text"), F.col("p.n").alias("words"))
+    """id, chunk_idx, text, words: passages of one goal. essays: id, text."""
+    cut = passages(essays.select("id", "text"), F.coalesce("text", F.lit("")), lambda i: F.lit(goal), "_passages", min_words, max_words)
+    return exploded(cut, F.col("_passages"), "chunk_idx", "p").select("id", "chunk_idx", F.col("p.text").alias("text"), F.col("p.n").alias("words"))
 
 
 def split_passages(rows: DataFrame, text: str = "cleaned_text") -> DataFrame:
     """The rows with passages: the whole text up to MAX_WORDS words, else passages of about TARGET_WORDS, a short last one merged."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    staged = rows.withColumn("_pieces", pieces(t)).withColumn("_cut", passages(None, lambda i: F.lit(TARGET_WORDS), 1))
-    n = F.size("_cut")
-    last, before = F.element_at("_cut", -1), F.when(n > 1, F.element_at("_cut", -2))
-    merged = F.concat(F.slice("_cut", 1, n - 2), F.array(F.struct(F.concat_ws(" ", before["text"], last["text"]).alias("text"), (before["n"] + last["n"]).alias("n"))))
-    cut = F.when((n > 1) & (last["n"] < MIN_TAIL), merged).otherwise(F.col("_cut"))
-    whole = F.array(F.struct(t.alias("text"), T.count_words(t).alias("n")))
-    return staged.withColumn("passages", F.when(T.count_words(t) <= MAX_WORDS, whole).otherwise(cut)).drop("_pieces", "_cut")
+    whole, cut, total = fresh(rows, "_whole", "_cut", "_total")
+    rows = rows.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    rows = rows.withColumn(total, T.count_words(F.col(whole)))
+    # a text that stays whole has no pieces to count
+    rows = passages(rows, F.when(F.col(total) > MAX_WORDS, F.col(whole)), lambda i: F.lit(TARGET_WORDS), cut, 1)
+    n = F.size(cut)
+    last, before = F.element_at(cut, -1), F.when(n > 1, F.element_at(cut, -2))
+    merged = F.concat(F.slice(cut, 1, n - 2), F.array(F.struct(F.concat_ws(" ", before["text"], last["text"]).alias("text"), (before["n"] + last["n"]).alias("n"))))
+    parts = F.when((n > 1) & (last["n"] < MIN_TAIL), merged).otherwise(F.col(cut))
+    alone = F.array(F.struct(F.col(whole).alias("text"), F.col(total).alias("n")))
+    return rows.withColumn("passages", F.when(F.col(total) <= MAX_WORDS, alone).otherwise(parts)).drop(whole, cut, total)

@@ -32,7 +32,7 @@ def clean_rows(rows: DataFrame, cleaner=None, prompt: str | None = None, markdow
     if prompt:
         before = before.when(~T.is_academic_content(F.col(prompt), F.col("text")), "non_academic")
     before = before.when(T.contains_foreign_language(F.col("text"), detector), "foreign")
-    marked = (rows if cleaner else rewrite.spread(rows)).withColumn("early", before)
+    marked = rewrite.spread(rows).withColumn("early", before)
     source = T.clean_markdown_formatting(F.col("text")) if markdown else F.col("text")
     source = F.when(F.col("early").isNull(), F.coalesce(source, F.lit("")))
     cleaned = cleaner(source) if cleaner else rewrite.column(rewrite.clean_pipeline, source)

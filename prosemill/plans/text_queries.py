@@ -12,6 +12,7 @@ from prosemill.operators.detect import THRESHOLD, detect
 from prosemill.plans.registry import query
 from prosemill.plans.tables import ENRICHED, enriched, labelled, table
 from prosemill.sources import readers
+from prosemill.sources.staging import exploded
 
 
 def _literal(text: str) -> str:
@@ -277,7 +278,7 @@ def input_guard(spark, sf_dir):
     FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 40.0) AS BIGINT))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\\s]+') AS w FROM documents))""")
 def word_windows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(T.word_windows(F.col("text"), 40)).alias("piece", "words"))
+    return exploded(docs, T.word_windows(F.col("text"), 40), "piece", "words").select("doc_id", "piece", "words")
 
 
 @query("SELECT doc_id, len(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentences FROM documents")
@@ -303,8 +304,8 @@ def chunk_passages(spark, sf_dir):
 
 @query()
 def split_passages(spark, sf_dir):
-    rows = chunking.split_passages(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("cleaned_text")))
-    return rows.select("doc_id", F.posexplode("passages").alias("idx", "p")).select("doc_id", "idx", F.col("p.text").alias("text"), F.col("p.n").alias("words"))
+    rows = chunking.split_passages(P.spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("cleaned_text")))
+    return exploded(rows, F.col("passages"), "idx", "p").select("doc_id", "idx", F.col("p.text").alias("text"), F.col("p.n").alias("words"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w)) AS w FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),

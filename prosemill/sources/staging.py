@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +44,23 @@ def drop_staged(*tables: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in tables:
         drop_path(df.sparkSession, df._staged_path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own beside all columns that a table has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def exploded(df: DataFrame, array: Column, position: str, value: str) -> DataFrame:
+    """A row with position (from 0) and value for each element.
+
+    An outer explode whose empty rows are dropped after it: for an inner one the optimiser would filter by the array's size first, and so build the array twice.
+    """
+    return df.select("*", F.posexplode_outer(array).alias(position, value)).where(F.col(position).isNotNull())

@@ -54,6 +54,30 @@ def test_guards_change_nothing(cleaner, monkeypatch):
     assert [cleaner(s) for s in SAMPLES] == guarded
 
 
+#: Each condition met and not met.
+INLINE = [
+    ("", False), ("  ", False), ("x+1", True), ("n", True), ("abcd", True), ("abcde", False), ("word", True), ("two words", False), ("0.3 trillion in 1970 to", False), ("a. B = 1", False), ("a. b = 1", True),
+    ("one two three + 1", False), ("one to + 1", True), ("price of 3", False), (r"\text of 3", True), ("[[CODE]] price of", True), ("[[EQUATION]]", True), ("[[CODE]] one two three", False), ("h(x)", True), ("α", True), ("!", False),
+]
+PARENTHESES = [
+    ("12", False), ("n-1", True), ("see below", False), ("a = b", False), ("a = 2", True), ("2 [[CODE]]", True), ("[[CODE]]", False), ("[[EQUATION]]", True), ("long-word", False), ("ab*c", True), ("a < 3", True), ("[[CODE]] = x", False),
+]
+BRACES = [("a {b; c} d", "a [[CODE]] d"), ("a {key_1} d", "a {key_1} d"), ("x^{a b}", "x^{a b}"), ("x_{a;}", "x_{a;}"), (r"{\bf bold; text }", "bold; text"), ("{two words}", "[[CODE]]"), ("{" + "k" * 80 + "}", "{" + "k" * 80 + "}"), ("{" + "k" * 81 + "}", "[[CODE]]"), ("{" + "a " * 101 + "}", "{" + "a " * 100 + "a }"), ("{}", "{}")]
+SENTENCES = [
+    ("Plain words here. More words.", "Plain words here. More words."), ("[[EQUATION]] a b. [[EQUATION]].", "[[EQUATION]]"), ("[[EQUATION]] word. Next.", "[[EQUATION]] word. Next."),
+    ("[[EQUATION]] and then [[EQUATION]] one two three. Next one.", "[[EQUATION]] Next one."), ("[[EQUATION]] and then [[EQUATION]] one two three four. Next.", "[[EQUATION]] and then [[EQUATION]] one two three four. Next."),
+]
+
+
+def test_decisions_both_ways():
+    assert [(x, P.is_inline_math(x)) for x, _ in INLINE] == INLINE
+    assert [(x, P.is_mathematical(x)) for x, _ in PARENTHESES] == PARENTHESES
+    assert [(x, P.clean_pseudocode_and_diagrams(x)) for x, _ in BRACES] == BRACES
+    assert [(x, P._fold_sentences(x)) for x, _ in SENTENCES] == SENTENCES
+    debris = [("$a^b$", True), ("$[[CODE]] x$", True), ("$plain$", False), ("$one_ two three$", False), ("$one_ two$", True)]
+    assert [(x, P._dollar_debris(x) == R.EQ) for x, _ in debris] == debris
+
+
 def test_native_twins(spark):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(SAMPLES)], "i int, s string")
     pairs = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
+from prosemill.functions.rewrite import spread
 from prosemill.operators import combine as C
 from prosemill.operators import linking as L
 from prosemill.operators import splitting as S
@@ -139,27 +140,28 @@ def split_sizes(spark, sf_dir):
     return counts.select("n_regionkey", "n", *(v.alias(k) for k, v in S.split_sizes(F.col("n")).items()))
 
 
-_TERMS = "SELECT block, row_id, unnest(list_filter(regexp_extract_all(lower(text), '\\b(\\w\\w+)\\b', 1), lambda w: NOT list_contains([{stop}], w))) AS term FROM {rows}".format(stop=", ".join(f"'{w}'" for w in L.STOP_WORDS), rows="{0}")
+_STOP = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
 
 
 def _tfidf_sql(rows: str) -> str:
-    return f"""terms AS ({_TERMS.format(rows)}), tf AS (SELECT block, row_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+    word = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}"
+    return f"""terms AS (SELECT block, row_id, unnest(list_filter(regexp_extract_all(lower(text), '{word}'), lambda w: NOT list_contains([{_STOP}], w))) AS term FROM {rows}), tf AS (SELECT block, row_id, term, count(*) AS tf FROM terms GROUP BY ALL),
     df AS (SELECT block, term, count(*) AS df FROM tf GROUP BY ALL HAVING count(*) >= 2), n AS (SELECT block, count(*) AS n FROM {rows} GROUP BY block),
     raw AS (SELECT block, row_id, term, (1 + ln(tf)) * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN df USING (block, term) JOIN n USING (block)),
     weights AS (SELECT block, row_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY block, row_id)) AS weight FROM raw)"""
 
 
-_SMALL = "small AS (SELECT lang AS block, doc_id AS row_id, text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND len(text) < 1200)"
+_BLOCKS = "blocks AS (SELECT lang AS block, doc_id AS row_id, text FROM documents)"
 
 
-@query(f"WITH {_SMALL}, {_tfidf_sql('small')} SELECT row_id, count(*) AS n_terms, round(sum(weight), 6) AS total, round(max(weight), 6) AS largest FROM weights GROUP BY row_id")
+@query(f"WITH {_BLOCKS}, {_tfidf_sql('blocks')} SELECT row_id, count(*) AS n_terms, round(sum(weight), 6) AS total, round(max(weight), 6) AS largest FROM weights GROUP BY row_id")
 def tfidf_weights(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]") & (F.length("text") < 1200))
+    docs = spread(table(spark, sf_dir, "documents"))
     w = L.tfidf(docs.select(F.col("lang").alias("block"), F.col("doc_id").alias("row_id"), "text"))
     return w.groupBy("row_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
 
 
-_LINK_ROWS = "rows_ AS (SELECT doc_id AS row_id, lang AS block, text, CASE WHEN doc_id % 3 = 0 THEN 'mgtbench_human' ELSE 'mgtbench' END AS source FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))"
+_LINK_ROWS = "rows_ AS (SELECT doc_id AS row_id, lang AS block, text, CASE WHEN doc_id % 3 = 0 THEN 'mgtbench_human' ELSE 'mgtbench' END AS source FROM documents)"
 
 
 @query(f"""WITH {_LINK_ROWS}, {_tfidf_sql('rows_')},
@@ -167,7 +169,7 @@ _LINK_ROWS = "rows_ AS (SELECT doc_id AS row_id, lang AS block, text, CASE WHEN
     best AS (SELECT ai_id, human_id, s FROM (SELECT *, row_number() OVER (PARTITION BY ai_id ORDER BY round(s, 9) DESC, human_id) AS nth FROM pairs) WHERE nth = 1 AND s >= 0.3)
     SELECT row_id, CASE WHEN human_id IS NULL THEN 'g:' || CAST(row_id AS VARCHAR) ELSE 'g:' || CAST(human_id AS VARCHAR) END AS linked_group_id, round(s, 6) AS similarity FROM rows_ LEFT JOIN best ON ai_id = row_id""")
 def link_originals(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    docs = spread(table(spark, sf_dir, "documents"))
     rows = docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("subject"), "text", F.when(F.col("doc_id") % 3 == 0, "mgtbench_human").otherwise("mgtbench").alias("source"), F.concat(F.lit("g:"), F.col("doc_id").cast("string")).alias("group_id"))
     return L.link(rows).select("row_id", "linked_group_id", F.round("similarity", 6).alias("similarity"))
 

@@ -64,3 +64,9 @@ def exploded(df: DataFrame, array: Column, position: str, value: str) -> DataFra
     An outer explode whose empty rows are dropped after it: for an inner one the optimiser would filter by the array's size first, and so build the array twice.
     """
     return df.select("*", F.posexplode_outer(array).alias(position, value)).where(F.col(position).isNotNull())
+
+
+def one_thread(spark: SparkSession) -> None:
+    """Python workers use one thread each, as there is one for each core."""
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        spark.sparkContext.environment.setdefault(name, "1")

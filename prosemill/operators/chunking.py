@@ -54,10 +54,14 @@ def passages(rows: DataFrame, text: Column, goal_of, output: str, min_words: int
     return rows.withColumn(output, F.transform(ranges, lambda r: F.struct(F.array_join(F.slice(texts, r["first"] + 1, r["size"]), " ").alias("text"), r["n"].alias("n")))).drop(found, at)
 
 
+def clipped(words: Column, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> Column:
+    return F.greatest(F.lit(min_words), F.least(F.lit(max_words), words))
+
+
 def hashed_goal(targets: list[int], key: Column, seed: int = 42, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS):
     """A goal drawn from the target word counts by a hash of text key and passage number: the same on any cluster."""
-    clipped = F.array(*(F.lit(min(max(int(t), min_words), max_words)) for t in targets))
-    return lambda i: F.element_at(clipped, (F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(len(targets))) + 1).cast("int"))
+    goals = F.array(*(clipped(F.lit(int(t)), min_words, max_words) for t in targets))
+    return lambda i: F.element_at(goals, (F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(len(targets))) + 1).cast("int"))
 
 
 def target_quantiles(ai_rows: DataFrame, steps: int = 200) -> list[int]:

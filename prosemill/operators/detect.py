@@ -27,6 +27,15 @@ def lexical_probability(text: Column) -> Column:
     return T.let(T.lexical_struct(text), lambda f: 1 / (1 + F.exp(-(4 * f["function_word_ratio"] - 3 * f["ttr"] + 0.2 * f["avg_word_length"]))))
 
 
+def verdict(p: Column, label: str, percent: str, band: str) -> list[Column]:
+    """Label, percent to one decimal and band of a probability; nulls for a null."""
+    return [
+        F.when(p.isNotNull(), F.when(p >= THRESHOLD, "ai").otherwise("human")).alias(label),
+        F.round(p * 100, 1).alias(percent),
+        F.when(p.isNotNull(), T.score_band(F.bround(p * 100))).alias(band),
+    ]
+
+
 def detect(submissions: DataFrame, probability: Callable[[Column], Column] = lexical_probability, cleaner: Callable[[str], str] | None = None) -> DataFrame:
     """id, status, ai_probability (0 to 100, one decimal), label, band, threshold, word_count, passages. submissions: id, text.
 
@@ -45,8 +54,6 @@ def detect(submissions: DataFrame, probability: Callable[[Column], Column] = lex
     rows = rows.withColumn("status", F.when((F.col("status") == "ok") & (F.col("word_count") < MIN_PROSE), "too_little_prose").otherwise(F.col("status")))
     ok = F.col("status") == "ok"
     rows = rows.withColumn("p", F.when(ok, weighted_score(F.col("passages"))))
-    return rows.select(
-        "id", "status", F.round(F.col("p") * 100, 1).alias("ai_probability"), F.when(ok, F.when(F.col("p") >= THRESHOLD, "ai").otherwise("human")).alias("label"),
-        F.when(ok, T.score_band(F.bround(F.col("p") * 100))).alias("band"), F.lit(THRESHOLD).alias("threshold"), F.when(ok, F.col("word_count")).alias("word_count"),
-        F.when(ok, F.transform("passages", lambda p: F.struct(p["text"].alias("text"), p["word_count"].alias("word_count"), F.round(p["ai_probability"] * 100, 1).alias("ai_probability")))).alias("passages"),
-    )
+    each = F.transform("passages", lambda p: F.struct(p["text"].alias("text"), p["word_count"].alias("word_count"), F.round(p["ai_probability"] * 100, 1).alias("ai_probability")))
+    label, percent, band = verdict(F.col("p"), "label", "ai_probability", "band")
+    return rows.select("id", "status", percent, label, band, F.lit(THRESHOLD).alias("threshold"), F.when(ok, F.col("word_count")).alias("word_count"), F.when(ok, each).alias("passages"))

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosemill.functions.rewrite import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def is_ascii(text: Column) -> Column:
-    return ~text.rlike(r"[^\x00-\x7F]")
-
-
 #: Snippets that are added to the documents, as they hardly have anything to clean.
 SNIPPETS = (
     " See https://ex.org/a1 and www.ex.org.", " Run `x = f(y)` now.", " It is O(n log n) here.", " Play C-G-D-A slowly.", " As shown [1, 2] and [3-5].",
@@ -21,12 +19,11 @@ SNIPPETS = (
 )
 
 
-def enriched(spark: SparkSession, sf_dir: str, ascii_only: bool = True) -> DataFrame:
-    """doc_id, text with a snippet chosen by doc_id % 10, lang, source."""
-    docs = table(spark, sf_dir, "documents")
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with a snippet chosen by doc_id % 10, lang, source; dealt to all cores, as one small file is one task."""
+    docs = spread(table(spark, sf_dir, "documents"))
     snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % 10 + 1).cast("int"))
-    rows = docs.select("doc_id", F.concat("text", snippet).alias("text"), "lang", "source")
-    return rows.where(is_ascii(F.col("text"))) if ascii_only else rows
+    return docs.select("doc_id", F.concat("text", snippet).alias("text"), "lang", "source")
 
 
 def _quoted(text: str) -> str:
@@ -35,8 +32,7 @@ def _quoted(text: str) -> str:
 
 
 _CASES = " ".join(f"WHEN {i} THEN {_quoted(s)}" for i, s in enumerate(SNIPPETS))
-ENRICHED_ALL = f"enriched AS (SELECT doc_id, text || (CASE doc_id % 10 {_CASES} END) AS text, lang, source FROM documents)"
-ENRICHED = f"enriched AS (SELECT doc_id, text || (CASE doc_id % 10 {_CASES} END) AS text, lang, source FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))"
+ENRICHED = f"enriched AS (SELECT doc_id, text || (CASE doc_id % 10 {_CASES} END) AS text, lang, source FROM documents)"
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from prosemill.functions import rewrite as P
 from prosemill.functions import rules as R
 from prosemill.functions import text as T
 from prosemill.operators import chunking, cleaning, features, training
-from prosemill.operators.detect import THRESHOLD, detect
+from prosemill.operators.detect import detect, verdict
 from prosemill.plans.registry import query
 from prosemill.plans.tables import ENRICHED, enriched, labelled, table
 from prosemill.sources import readers
@@ -85,10 +85,9 @@ def clean_citations_numeric(spark, sf_dir):
     return _cleaned(spark, sf_dir, lambda t: T.tidy(T.rewritten(t, [*R.CITATIONS[:2], R.collapse("CITATION")])))
 
 
-def _native(name: str, cleaner, python: bool = False):
+def _native(name: str, cleaner):
     def run(spark, sf_dir):
-        rows = enriched(spark, sf_dir, False)
-        return (P.spread(rows) if python else rows).select("doc_id", cleaner(F.col("text")).alias("cleaned"))
+        return enriched(spark, sf_dir).select("doc_id", cleaner(F.col("text")).alias("cleaned"))
 
     run.__name__ = name
     query()(run)
@@ -100,7 +99,7 @@ for _name, _step in (
     ("clean_pseudocode", P.clean_pseudocode_and_diagrams), ("clean_bare_expressions", P.clean_bare_expressions), ("clean_math", P.clean_math_texts),
     ("clean_residual", P.clean_residual_math_noise), ("merge_tags", P.merge_continuous_equations), ("mop_up", P.mop_up_leftovers), ("clean_pipeline", P.clean_pipeline),
 ):
-    _native(_name, lambda t, step=_step: P.column(step, t), True)
+    _native(_name, lambda t, step=_step: P.column(step, t))
 
 
 _PLACEHOLDER = r"\[{2,3}[A-Z]*\]{1,2}|\b(?:EQUATION|CODE|CITATION|COMPLEXITY|URL|MUSIC)\]{1,2}"
@@ -130,9 +129,13 @@ def count_words(spark, sf_dir):
     return _tagged(spark, sf_dir).select("doc_id", T.count_words(F.col("text")).alias("words"))
 
 
-@query("SELECT doc_id, NOT regexp_matches(regexp_replace(substr(text, 1, 8) || '[[CODE]]', '\\[\\[(EQUATION|CODE|CITATION|COMPLEXITY|URL|FOREIGN|MUSIC)\\]\\]', '', 'g'), '[A-Za-z]{3,}') AS non_prose FROM documents")
+@query("""SELECT doc_id, s.i AS part, NOT regexp_matches(regexp_replace(s.t, '\\[\\[(EQUATION|CODE|CITATION|COMPLEXITY|URL|FOREIGN|MUSIC)\\]\\]', '', 'g'), '[A-Za-z]{3,}') AS non_prose
+    FROM (SELECT doc_id, unnest(list_transform(string_split(text || ' [[CODE]] ab [[URL]]2', ' '), lambda t, i: {'i': CAST(i - 1 AS INTEGER), 't': t})) AS s FROM documents)""")
 def is_non_prose(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.is_non_prose(F.concat(F.substring("text", 1, 8), F.lit("[[CODE]]"))).alias("non_prose"))
+    """Of every part between spaces of every text."""
+    parts = F.split(F.concat("text", F.lit(" [[CODE]] ab [[URL]]2")), " ")
+    rows = exploded(P.spread(table(spark, sf_dir, "documents")), parts, "part", "t")
+    return rows.select("doc_id", "part", T.is_non_prose(F.col("t")).alias("non_prose"))
 
 
 def _any(patterns: list[str]) -> str:
@@ -178,7 +181,8 @@ _TAG = "\\[\\[(?:EQUATION|CODE|CITATION|COMPLEXITY|URL|FOREIGN|MUSIC)\\]\\]"
 
 
 def _density(text: str) -> str:
-    tags, words = f"len(regexp_extract_all({text}, '{_TAG}'))", f"len(regexp_extract_all({text}, '\\b[a-zA-Z]{{2,}}\\b'))"
+    tags = f"len(regexp_extract_all({text}, '{_TAG}'))"
+    words = f"len(list_filter(regexp_extract_all({text}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{{2,}}')))"
     return f"coalesce({tags} / nullif(CAST({tags} + {words} AS DOUBLE), 0), 0)"
 
 
@@ -192,15 +196,13 @@ def placeholder_density(spark, sf_dir):
     return _tagged(spark, sf_dir).select("doc_id", F.round(T.placeholder_density(F.col("text")), 9).alias("density"))
 
 
-_DENSE = "dense AS (SELECT doc_id, substr(text, 1, CAST(100 + doc_id % 300 AS BIGINT)) || repeat('[[CODE]] x ', CAST(doc_id % 25 AS BIGINT)) || substr(text, 1, CAST(doc_id % 90 AS BIGINT)) AS text FROM documents)"
+_DENSE = "dense AS (SELECT doc_id, text || repeat('[[CODE]] x ', CAST(doc_id % 25 AS BIGINT)) || text AS text FROM documents)"
 
 
 @query(f"WITH {_DENSE} SELECT doc_id, {_windowed('text')} AS locally_dense FROM dense")
 def density_windowed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    head, tail = F.col("text").substr(F.lit(1), (100 + F.col("doc_id") % 300).cast("int")), F.col("text").substr(F.lit(1), (F.col("doc_id") % 90).cast("int"))
-    text = F.concat(head, F.repeat(F.lit("[[CODE]] x "), (F.col("doc_id") % 25).cast("int")), tail)
-    return docs.select("doc_id", T.placeholder_density_windowed(text).alias("locally_dense"))
+    text = F.concat("text", F.repeat(F.lit("[[CODE]] x "), (F.col("doc_id") % 25).cast("int")), "text")
+    return P.spread(table(spark, sf_dir, "documents")).select("doc_id", T.placeholder_density_windowed(text).alias("locally_dense"))
 
 
 @query(f"WITH {ENRICHED}, {_TAGGED} SELECT " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '\\[\\[{t}\\]\\]'))) AS BIGINT) AS {t.lower()}" for t in R.TAGS) + " FROM tagged")
@@ -239,7 +241,7 @@ def funnel_summary(spark, sf_dir):
 
 @query()
 def funnel_full_program(spark, sf_dir):
-    return cleaning.funnel_summary(cleaning.clean_rows(enriched(spark, sf_dir, False).select("doc_id", "text")))
+    return cleaning.funnel_summary(cleaning.clean_rows(enriched(spark, sf_dir).select("doc_id", "text")))
 
 
 @query("""SELECT conv_id, regexp_replace(coalesce(arg_min(text, turn) FILTER (role = 'user' AND len(text) > 0), ''), '^ +| +$', '', 'g') AS prompt,
@@ -286,34 +288,45 @@ def sentence_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
-def _long(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("length(text) > 3000")
+#: Pieces of the documents in order, and the number of the passage that each one falls into with a goal of 200 words.
+_PASSAGES = """sentences AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents)),
+    counted AS (SELECT doc_id, i, s[i] AS text, regexp_extract_all(s[i], '[^\\s]+') AS w FROM sentences),
+    cut AS (SELECT doc_id, i, 0 AS j, text, len(w) AS n FROM counted WHERE len(w) <= 520
+        UNION ALL SELECT doc_id, i, j, array_to_string(w[j * 520 + 1 : j * 520 + 520], ' '), len(w[j * 520 + 1 : j * 520 + 520]) FROM (SELECT *, unnest(range(0, CAST(ceil(len(w) / 520.0) AS BIGINT))) AS j FROM counted WHERE len(w) > 520)),
+    pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k, text, n FROM cut),
+    fold AS (SELECT doc_id, k, 0 AS passage, n FROM pieces WHERE k = 1
+        UNION ALL SELECT p.doc_id, p.k, CASE WHEN f.n + p.n - 200 > 200 - f.n THEN passage + 1 ELSE passage END, CASE WHEN f.n + p.n - 200 > 200 - f.n THEN p.n ELSE f.n + p.n END FROM fold f JOIN pieces p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
+    passages AS (SELECT doc_id, passage, string_agg(p.text, ' ' ORDER BY k) AS text, CAST(sum(p.n) AS INTEGER) AS words, max(passage) OVER (PARTITION BY doc_id) AS last FROM fold f JOIN pieces p USING (doc_id, k) GROUP BY doc_id, passage)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {_PASSAGES} SELECT doc_id AS id, passage AS chunk_idx, text, words FROM passages WHERE passage < last OR words >= 75")
 def chunk_fixed_goal(spark, sf_dir):
-    return chunking.chunk_fixed_goal(_long(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), 200)
+    return chunking.chunk_fixed_goal(P.spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text"), 200)
 
 
 @query()
 def chunk_passages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    targets = chunking.target_quantiles(docs.where("doc_id % 5 >= 2"))
-    return chunking.chunk_passages(docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("subject")), targets)
+    """Every document is cut; the goals are the lengths of the labelled ones of class 1."""
+    docs = P.spread(table(spark, sf_dir, "documents"))
+    targets = chunking.target_quantiles(labelled(spark, sf_dir).where("label = 1"))
+    return chunking.chunk_passages(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("subject")), targets)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PASSAGES}, whole AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^\\s]+')) AS n FROM documents),
+    kept AS (SELECT *, max(passage) OVER (PARTITION BY doc_id) AS end_ FROM passages WHERE passage < last OR words >= 1),
+    merged AS (SELECT doc_id, CASE WHEN passage = end_ AND passage > 0 AND words < 75 THEN passage - 1 ELSE passage END AS idx, passage, text, words FROM kept WHERE doc_id IN (SELECT doc_id FROM whole WHERE n > 520))
+    SELECT doc_id, idx, string_agg(text, ' ' ORDER BY passage) AS text, CAST(sum(words) AS INTEGER) AS words FROM merged GROUP BY doc_id, idx UNION ALL SELECT doc_id, 0, text, CAST(n AS INTEGER) FROM whole WHERE n <= 520""")
 def split_passages(spark, sf_dir):
     rows = chunking.split_passages(P.spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("cleaned_text")))
     return exploded(rows, F.col("passages"), "idx", "p").select("doc_id", "idx", F.col("p.text").alias("text"), F.col("p.n").alias("words"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w)) AS w FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+@query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\p{{L}}+'), lambda w: lower(w)) AS w FROM documents),
     e AS (SELECT doc_id, unnest(w) AS w FROM t), c AS (SELECT doc_id, w, count(*) AS n FROM e GROUP BY ALL)
     SELECT doc_id, round(count(*) / CAST(sum(n) AS DOUBLE), 9) AS ttr, round(count(*) FILTER (n = 1) / CAST(sum(n) AS DOUBLE), 9) AS hapax_legomena_ratio, round(sum(n * len(w)) / CAST(sum(n) AS DOUBLE), 9) AS avg_word_length,
     round(coalesce(sum(n) FILTER (list_contains({_list(sorted(set(R.FUNCTION_WORDS)))}, w)), 0) / CAST(sum(n) AS DOUBLE), 9) AS function_word_ratio FROM c GROUP BY doc_id""")
 def lexical_features(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]") & F.col("text").rlike("[A-Za-z]"))
+    docs = P.spread(table(spark, sf_dir, "documents")).where(F.col("text").rlike(r"\p{L}"))  # the others' features are zeros, which SQL has no groups for
     found = docs.select("doc_id", T.lexical_struct(F.col("text")).alias("f"))
     return found.select("doc_id", *(F.round(F.col("f")[k], 9).alias(k) for k in features.LEXICAL))
 
@@ -391,22 +404,21 @@ def first_rows(spark, sf_dir):
     return readers.first_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), 200, "doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN p >= 0.55 THEN 'ai' ELSE 'human' END AS label, round(p * 100, 1) AS percent FROM (SELECT doc_id, CAST((doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS p FROM documents)")
+@query("SELECT doc_id, CASE WHEN p >= 0.55 THEN 'ai' ELSE 'human' END AS label, round(p * 100, 1) AS percent, CASE WHEN round_even(p * 100, 0) <= 20 THEN 'Likely Human-Written' WHEN round_even(p * 100, 0) >= 80 THEN 'Highly Likely AI-Generated' ELSE 'Possible AI Assistance / Mixed Content' END AS band FROM (SELECT doc_id, CAST((doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS p FROM documents)")
 def label_by_threshold(spark, sf_dir):
     p = (F.col("doc_id") * 7919 % 1000).cast("double") / 1000
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(p >= THRESHOLD, "ai").otherwise("human").alias("label"), F.round(p * 100, 1).alias("percent"))
+    return table(spark, sf_dir, "documents").select("doc_id", *verdict(p, "label", "percent", "band"))
 
 
 @query("SELECT doc_id, greatest(75, least(520, len(regexp_extract_all(text, '[^\\s]+')))) AS goal FROM documents")
 def clipped_targets(spark, sf_dir):
-    words = F.regexp_count("text", F.lit(r"\S+")).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(chunking.MIN_WORDS), F.least(F.lit(chunking.MAX_WORDS), words)).alias("goal"))
+    return P.spread(table(spark, sf_dir, "documents")).select("doc_id", chunking.clipped(T.count_words(F.col("text"))).cast("long").alias("goal"))
 
 
-@query("SELECT lang, min(text) AS text FROM (SELECT lang, upper(lang) || '!' AS text FROM documents) GROUP BY lang")
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def surrogate_strip(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.min(T.strip_surrogate_characters(F.concat(F.upper("lang"), F.lit("!")))).alias("text"))
+    """Whole texts, in which no lone surrogate can stand once Spark has read them."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(T.strip_surrogate_characters(F.col("text")), "UTF-8")).alias("text_md5"))
 
 
 @query()

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
-from prosemill.sources.staging import staged
 from prosemill.operators.chunking import chunk_passages, target_quantiles
+from prosemill.operators.ranking import range_bucket, ranked
+from prosemill.sources.staging import fresh, staged
 
 #: Sources in the order of the union, with their labels.
 SOURCES = (("bawe", 0), ("mgtbench_human", 0), ("mgtbench", 1), ("claude", 1), ("gemini", 1))
@@ -88,10 +89,12 @@ def combine(tables: dict[str, DataFrame], chunk_human: bool = True, min_words: i
 
 
 def file_row_id(rows: DataFrame, order: str = "row_id") -> DataFrame:
-    """id: the number of a row in its file, from 0."""
-    return rows.withColumn("id", F.row_number().over(Window.partitionBy("file").orderBy(order)) - 1)
+    """id: the number of a row in its file, from 0. order: a column of unique numbers."""
+    (nth,) = fresh(rows, "_nth")
+    return ranked(rows, ["file"], range_bucket(F.col(order)), [order], nth).withColumn("id", F.col(nth) - 1).drop(nth)
 
 
 def head_per_subject(rows: DataFrame, n: int, order: str = "row_id") -> DataFrame:
+    """The first n rows of each subject; each task keeps n of a subject at most before they meet."""
     nth = F.row_number().over(Window.partitionBy("subject").orderBy(order))
     return rows.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")

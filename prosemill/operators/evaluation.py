@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosemill.operators.ranking import md5_bucket, ranked
+
 BUCKETS = 1024
 
 
@@ -171,14 +173,8 @@ def length_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
 def fold_of(groups: DataFrame, folds: int, seed: int) -> DataFrame:
     """group_id and fold: groups in the order of an MD5, dealt round robin."""
     order = F.md5(F.concat_ws(":", F.col("group_id"), F.lit(str(seed))))
-    bucket = F.substring(order, 1, 2)
-    within = Window.partitionBy("bucket").orderBy("order", "group_id")
-    keyed = groups.select("group_id").distinct().withColumns({"order": order, "bucket": bucket})
-    sizes = keyed.groupBy("bucket").count()
-    before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows
-    bases = sizes.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = keyed.withColumn("nth", F.row_number().over(within)).join(F.broadcast(bases), "bucket")
-    return ranked.select("group_id", ((F.col("base") + F.col("nth") - 1) % folds + 1).cast("int").alias("fold"))
+    numbered = ranked(groups.select("group_id").distinct(), [], md5_bucket(order), [order, "group_id"])
+    return numbered.select("group_id", ((F.col("nth") - 1) % folds + 1).cast("int").alias("fold"))
 
 
 def fold_fpr(scores: DataFrame, models: list[str], folds: int = 10, threshold: float = 0.5, seed: int = 42) -> DataFrame:

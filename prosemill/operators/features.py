@@ -12,8 +12,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from prosemill.functions import text as T
+from prosemill.sources.staging import fresh, staged
 
 LEXICAL = ("ttr", "hapax_legomena_ratio", "avg_word_length", "function_word_ratio")
 SYNTACTIC = ("pos_noun_ratio", "pos_adj_ratio", "pos_verb_ratio", "pos_adv_ratio", "avg_dependency_length", "mean_parse_tree_depth")
@@ -63,10 +65,15 @@ def style_features(rows: DataFrame, text: str = "text", annotator: Callable[[Col
     return tagged.withColumns({k: F.when(has_words, v).otherwise(F.lit(0.0)).cast("float") for k, v in syntactic_features(F.col("_tokens")).items()}).drop("_tokens")
 
 
-def joined_embeddings(rows: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
-    """The default encoder: vectors computed elsewhere, by row_id; rows without one get zeros."""
+def joined_embeddings(rows: DataFrame, vectors: DataFrame, size: int, missing: str = "error") -> DataFrame:
+    """The default encoder: vectors computed elsewhere, by row_id. Blank texts get zeros; other rows without a vector are an error, or zeros if missing="zeros"."""
     zeros = F.array_repeat(F.lit(0.0).cast("float"), size)
-    return rows.join(vectors.select("row_id", "embedding"), "row_id", "left").withColumn("embedding", F.coalesce("embedding", zeros))
+    blank = F.length(T.strip(F.coalesce("text", F.lit("")))) == 0 if "text" in rows.columns else F.lit(False)
+    (found,) = fresh(rows, "_found")
+    joined = rows.drop("embedding").join(vectors.select("row_id", F.col("embedding").alias(found)), "row_id", "left")
+    lost = F.raise_error(F.concat(F.lit("no vector for row "), F.col("row_id").cast("string"))).cast("array<float>")
+    absent = F.when(blank, zeros).otherwise(zeros if missing == "zeros" else lost)
+    return joined.withColumn("embedding", F.when(F.col(found).isNotNull(), F.col(found)).otherwise(absent)).drop(found)
 
 
 def encoder_udf(make_predict: Callable, size: int, batch_size: int = 16) -> Callable[[Column], Column]:
@@ -78,43 +85,66 @@ def encoder_udf(make_predict: Callable, size: int, batch_size: int = 16) -> Call
 
 
 def fused(style: DataFrame, vectors: DataFrame, names: list[str], output: str = "features") -> DataFrame:
-    """row_id and the style columns followed by the embedding as one vector; an error if the two don't have the same rows."""
-    both = style.join(vectors, "row_id", "full_outer").select(*names, "row_id", "embedding", *(c for c in style.columns if c not in (*names, "row_id")))
-    gap = style.select("row_id").join(vectors.select("row_id"), "row_id", "left_anti").unionByName(vectors.select("row_id").join(style.select("row_id"), "row_id", "left_anti"))
-    if gap.head(1):
-        raise ValueError("the feature tables have different rows")
-    ready = both.withColumn("_vector", array_to_vector("embedding")).fillna(0.0, subset=names)
+    """row_id and the style columns followed by the embedding as one vector; an error where one of the two lacks a row, when it is met. One join."""
+    in_style, in_vectors = fresh(style, "_style", "_vectors")
+    left, right = style.withColumn(in_style, F.lit(True)), vectors.select("row_id", "embedding", F.lit(True).alias(in_vectors))
+    both = left.join(right, "row_id", "full_outer")
+    gap = F.raise_error(F.concat(F.lit("the feature tables have different rows: "), F.col("row_id").cast("string")))
+    checked = both.withColumn("embedding", F.when(F.col(in_style) & F.col(in_vectors), F.col("embedding")).otherwise(gap.cast(vectors.schema["embedding"].dataType)))
+    ready = checked.withColumn("_vector", array_to_vector("embedding")).fillna(0.0, subset=names).drop(in_style, in_vectors)
     return VectorAssembler(inputCols=[*names, "_vector"], outputCol=output).transform(ready).drop("_vector", "embedding")
 
 
-def tfidf_vectors(train: DataFrame, others: DataFrame, max_terms: int = 10_000, min_df: int = 2):
-    """A fitted pipeline's vectors for both tables: counts of words and pairs, vocabulary from train only; sublinear, smoothed, unit length."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import CountVectorizer, Normalizer
-    from pyspark.ml.functions import vector_to_array
+class TfidfModel:
+    """A fitted TF-IDF: vocabulary and inverse document frequencies of the training texts, applied to any rows."""
 
+    def __init__(self, counter, idf):
+        self.counter, self.idf = counter, idf
+
+    @property
+    def vocabulary(self) -> list[str]:
+        return self.counter.vocabulary
+
+    @staticmethod
+    def fit(train: DataFrame, max_terms: int = 10_000, min_df: int = 2) -> TfidfModel:
+        """Words and pairs of the train rows only. train: text."""
+        from pyspark.ml.feature import IDF, CountVectorizer
+
+        counted = _counted(train)
+        counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_terms, minDF=float(min_df)).fit(counted)
+        return TfidfModel(counter, IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(counted)))
+
+    def transform(self, rows: DataFrame, output: str = "tfidf") -> DataFrame:
+        """The rows, written, with a sparse vector: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of unit length. Only terms that a row holds are touched."""
+        from pyspark.ml.linalg import VectorUDT
+
+        counts = self.idf.transform(self.counter.transform(_counted(rows)))
+        tf, scaled = F.unwrap_udt("_tf"), F.unwrap_udt("_idf")  # scaled: tf * ln((1 + n) / (1 + df)), at the same places
+        weights = F.transform(tf["values"], lambda c, i: (1 + F.log(c)) * (F.get(scaled["values"], i) / c + 1))
+
+        def unit(w: Column) -> Column:
+            norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))
+            return F.transform(w, lambda x: x / norm)
+
+        vector = F.struct(F.lit(0).cast("byte").alias("type"), tf["size"].alias("size"), tf["indices"].alias("indices"), T.let(weights, unit).alias("values"))
+        plain = counts.withColumn(output, vector).drop("_terms", "_tf", "_idf")
+        held = staged(plain, "tfidf")
+        # a vector is stored as this struct, so it is read as one
+        schema = StructType([StructField(f.name, VectorUDT() if f.name == output else f.dataType, True) for f in held.schema])
+        return rows.sparkSession.read.schema(schema).parquet(held._staged_path)
+
+    def save(self, path: str) -> None:
+        self.counter.write().overwrite().save(f"{path}/counter")
+        self.idf.write().overwrite().save(f"{path}/idf")
+
+    @staticmethod
+    def load(path: str) -> TfidfModel:
+        from pyspark.ml.feature import CountVectorizerModel, IDFModel
+
+        return TfidfModel(CountVectorizerModel.load(f"{path}/counter"), IDFModel.load(f"{path}/idf"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
     from prosemill.operators.linking import terms
 
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_terms", terms(T.strip_placeholders(F.col("text")), None, True))
-
-    model = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_terms, minDF=float(min_df)).fit(counted(train))
-    size = len(model.vocabulary)
-    exploded = counted(train).select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = train.count()
-    place = {t: i for i, t in enumerate(model.vocabulary)}
-    found = exploded.where(F.col("term").isin(list(place)[:0]) if not place else F.col("term").isNotNull()).join(F.broadcast(train.sparkSession.createDataFrame(list(place.items()) or [("", -1)], "term string, idx int")), "term").collect()
-    idf = [0.0] * size
-    import math
-
-    for r in found:
-        if r["idx"] >= 0:
-            idf[r["idx"]] = math.log((1 + n) / (1 + r["df"])) + 1
-    weights = F.array(*map(F.lit, idf)) if size <= 200 else F.from_json(F.lit(str(idf)), "array<double>")
-
-    def weighted(rows: DataFrame) -> DataFrame:
-        counts = model.transform(counted(rows)).withColumn("_w", F.transform(F.arrays_zip(vector_to_array("_tf").alias("c"), weights.alias("i")), lambda x: F.when(x["c"] > 0, (1 + F.log(x["c"])) * x["i"]).otherwise(0.0)))
-        dense = counts.withColumn("_v", array_to_vector("_w")).drop("_terms", "_tf", "_w")
-        return Pipeline(stages=[Normalizer(inputCol="_v", outputCol="tfidf")]).fit(dense).transform(dense).drop("_v")
-
-    return weighted(train), weighted(others), model.vocabulary
+    return rows.withColumn("_terms", terms(T.strip_placeholders(F.col("text")), None, True))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosemill.operators.ranking import md5_bucket, ranked
+from prosemill.sources.staging import fresh
+
 SEED = 42
 
 
@@ -32,12 +35,11 @@ def stratified_split(rows: DataFrame, train: float = 0.7, val: float = 0.15, tes
     if abs(train + val + test - 1) > 1e-6:
         raise ValueError("the shares must sum to 1")
     keyed = strat_keys(rows)
-    ordered = Window.partitionBy("strat").orderBy(order_of(F.col("row_id"), seed), "row_id")
-    n = F.count("*").over(Window.partitionBy("strat"))
-    ranked = keyed.withColumns({"nth": F.row_number().over(ordered), "n": n})
+    order = order_of(F.col("row_id"), seed)
+    numbered = ranked(keyed, ["strat"], md5_bucket(order), [order, "row_id"], "nth", "n")
     n_test, n_val = F.bround(F.col("n") * test), F.bround(F.col("n") * val)
     split = F.when(F.col("nth") <= n_test, "test").when(F.col("nth") <= n_test + n_val, "val").otherwise("train")
-    return ranked.withColumn("split", split).drop("nth", "n", "strat")
+    return numbered.withColumn("split", split).drop("nth", "n", "strat")
 
 
 def group_rows(rows: DataFrame) -> DataFrame:
@@ -55,9 +57,15 @@ def group_split(rows: DataFrame, train: float = 0.7, val: float = 0.15, test: fl
     return rows.join(groups, "group_id")
 
 
-def leaks(assigned: DataFrame, key: str) -> DataFrame:
-    """Keys that stand in more than one split: an empty table if the split is clean."""
-    return assigned.groupBy(key).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
+def leaks(assigned: DataFrame, key: str | Column) -> DataFrame:
+    """Keys that stand in more than one split: an empty table if the split is clean. key: a column, or an expression such as text_key()."""
+    named = F.col(key) if isinstance(key, str) else key.alias("key")
+    return assigned.groupBy(named).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
+
+
+def text_key(text: Column) -> Column:
+    """A digest by which equal texts are found, nulls as empty."""
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
 def downsample_ai(rows: DataFrame, per_human: int = 10, seed: int = SEED) -> DataFrame:
@@ -65,15 +73,17 @@ def downsample_ai(rows: DataFrame, per_human: int = 10, seed: int = SEED) -> Dat
     n_human = rows.where("label = 0").count()
     if not n_human:
         raise ValueError("no human rows")
-    ai = rows.where("label = 1").orderBy(order_of(F.col("row_id"), seed), "row_id").limit(per_human * n_human)
+    order = order_of(F.col("row_id"), seed)
+    (nth,) = fresh(rows, "nth")
+    ai = ranked(rows.where("label = 1"), [], md5_bucket(order), [order, "row_id"], nth).where(F.col(nth) <= per_human * n_human).drop(nth)
     return rows.where("label = 0").unionByName(ai)
 
 
 def group_folds(rows: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
     """Adds fold: groups of each label are dealt in MD5 order, so classes are spread evenly and groups stay whole."""
-    groups = group_rows(rows)
-    dealt = F.row_number().over(Window.partitionBy("label").orderBy(order_of(F.col("group_id"), seed), "group_id"))
-    return rows.join(groups.select("group_id", ((dealt - 1) % folds).cast("int").alias("fold")), "group_id")
+    order = order_of(F.col("group_id"), seed)
+    groups = ranked(group_rows(rows).select("group_id", "label"), ["label"], md5_bucket(order), [order, "group_id"])
+    return rows.join(groups.select("group_id", ((F.col("nth") - 1) % folds).cast("int").alias("fold")), "group_id")
 
 
 def balance_table(assigned: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
-from prosemill.operators import chunking, cleaning, combine, evaluation, features, linking, splitting, training
+from prosemill.operators import chunking, cleaning, combine, evaluation, features, linking, ranking, splitting, training
 from prosemill.operators.detect import detect
 from prosemill.sources import readers, sinks
 from prosemill.streaming.score import score_stream, submissions
@@ -97,11 +97,82 @@ def test_features(spark):
     assert s[1]["ttr"] == pytest.approx(0.8) and s[1]["hapax_legomena_ratio"] == pytest.approx(0.6) and s[1]["avg_word_length"] == pytest.approx(3.0) and s[1]["function_word_ratio"] == pytest.approx(0.4)
     assert s[2]["ttr"] == s[3]["ttr"] == 0.0 and s[1]["pos_noun_ratio"] is None
     vectors = spark.createDataFrame([(1, [1.0, 2.0])], "row_id long, embedding array<float>")
-    with pytest.raises(ValueError):
-        features.fused(rows.select("row_id", F.lit(1.0).alias("a")), vectors, ["a"])
-    assert features.joined_embeddings(rows, vectors, 2).where("row_id = 2").first()["embedding"] == [0.0, 0.0]
-    train, other, vocabulary = features.tfidf_vectors(spark.createDataFrame([(1, "red apple"), (2, "red apple pie"), (3, "blue sky")], "row_id long, text string"), rows)
-    assert set(vocabulary) == {"red", "apple", "red apple"} and train.count() == 3 and other.count() == 3
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException, match="different rows"):
+        features.fused(rows.select("row_id", F.lit(1.0).alias("a")), vectors, ["a"]).collect()
+    got = {r["row_id"]: r["embedding"] for r in features.joined_embeddings(rows, vectors, 2).collect()}
+    assert got == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}  # blank texts
+    with pytest.raises(PySparkException, match="no vector for row 1"):
+        features.joined_embeddings(rows, vectors.where("false"), 2).collect()
+    assert features.joined_embeddings(rows, vectors.where("false"), 2, missing="zeros").where("row_id = 1").first()["embedding"] == [0.0, 0.0]
+
+
+def test_tfidf_model(spark, tmp_path):
+    import math
+
+    train = spark.createDataFrame([(1, "red apple"), (2, "red apple red pie"), (3, "blue sky")], "row_id long, text string")
+    model = features.TfidfModel.fit(train)
+    assert set(model.vocabulary) == {"red", "apple", "red apple"}
+    model.save(str(tmp_path / "m"))
+    again = features.TfidfModel.load(str(tmp_path / "m")).transform(train.unionByName(spark.createDataFrame([(9, None), (10, "unknown")], train.schema)))
+    got = {r["row_id"]: {model.vocabulary[i]: v for i, v in zip(r["tfidf"].indices, r["tfidf"].values, strict=True)} for r in again.collect()}
+    idf = math.log(4 / 3) + 1
+    raw = {"red": (1 + math.log(2)) * idf, "apple": idf, "red apple": idf}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    assert got[2] == pytest.approx({k: v / norm for k, v in raw.items()}) and got[1] == pytest.approx(dict.fromkeys(raw, 1 / math.sqrt(3))) and got[3] == got[9] == got[10] == {}
+
+
+def test_ranks_are_those_of_one_window(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(3000).selectExpr("id as row_id", "id % 3 as g", "md5(cast(id % 700 as string)) as o").repartition(5)
+    out = ranking.ranked(rows, ["g"], ranking.md5_bucket(F.col("o")), ["o", "row_id"], "nth", "n")
+    want = rows.withColumns({"nth": F.row_number().over(Window.partitionBy("g").orderBy("o", "row_id")), "n": F.count("*").over(Window.partitionBy("g"))})
+    assert out.select("row_id", "nth", "n").exceptAll(want.select("row_id", "nth", "n")).count() == 0 and out.count() == 3000
+    numbered = combine.file_row_id(spark.range(200_000).selectExpr("id as row_id", "'f' || id % 2 as file"))
+    assert numbered.where("id != row_id div 2").count() == 0
+
+
+def test_most_frequent_terms(spark):
+    import random
+
+    rng = random.Random(1)
+    terms = [(b, f"{rng.choice('abé')}{k}", rng.randrange(1, 5)) for b in ("x", "y") for k in range(400)]
+    table = spark.createDataFrame(terms, "block string, term string, total long")
+    for most in (1, 37, 399, 1000):
+        want = {(b, t) for block in ("x", "y") for b, t, _ in sorted((r for r in terms if r[0] == block), key=lambda r: (-r[2], r[1].encode()))[:most]}
+        assert {(r["block"], r["term"]) for r in linking.most_frequent(table, most).collect()} == want
+
+
+def test_link_in_many_tiles(spark, monkeypatch):
+    """Against plain Python, with tiles so small that each row meets many; the closures hold the module's sizes."""
+    import math
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(linking, "TILE", 7)
+    monkeypatch.setattr(linking, "TERMS", 5)
+    rng = random.Random(2)
+    text = lambda: " ".join(f"t{int(rng.expovariate(0.08))}" for _ in range(rng.randrange(1, 25)))
+    rows = [(k, rng.choice(["p", "q", None]), text(), rng.choice(["mgtbench_human", "mgtbench", "mgtbench", "other"]), f"g{k}") for k in range(160)]
+    rows += [(200, "p", rows[0][2], "mgtbench", "g200"), (201, "p", "", "mgtbench", "g201"), (202, "only", "t1 t2", "mgtbench", "g202")]
+    got = {r["row_id"]: r["linked_group_id"] for r in linking.link(spark.createDataFrame(rows, "row_id long, subject string, text string, source string, group_id string")).collect()}
+    want = {r[0]: r[4] for r in rows}
+    for subject in ("p", "q", None, "only"):
+        both = [r for r in rows if r[1] == subject and r[3] in ("mgtbench_human", "mgtbench")]
+        tf = {r[0]: Counter(r[2].split()) for r in both}
+        df = Counter(t for c in tf.values() for t in c)
+        vec = {}
+        for k, c in tf.items():
+            w = {t: (1 + math.log(n)) * (math.log((1 + len(both)) / (1 + df[t])) + 1) for t, n in c.items() if df[t] >= 2}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            vec[k] = {t: x / norm for t, x in w.items()}
+        for a in (r for r in both if r[3] == "mgtbench"):
+            sims = [(-round(sum(x * vec[h[0]].get(t, 0) for t, x in vec[a[0]].items()), 9), h[0]) for h in both if h[3] == "mgtbench_human"]
+            if sims and -min(sims)[0] >= 0.3:
+                want[a[0]] = f"g{min(sims)[1]}"
+    assert got == want
 
 
 def test_training(spark):

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
-    from prosemill.plans import report_queries, split_queries, text_queries  # noqa: F401
+    from prosemill.plans import report_queries, source_queries, split_queries, text_queries  # noqa: F401
 
     return dict(QUERIES)
 

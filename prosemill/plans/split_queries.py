@@ -95,11 +95,14 @@ def group_split(spark, sf_dir):
     return _assigned(spark, sf_dir).select("row_id", "group_id", "split")
 
 
-@query(f"WITH {_ASSIGNED} SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT group_id FROM assigned GROUP BY group_id HAVING count(DISTINCT split) > 1)) AS leaked_groups, (SELECT count(*) FROM (SELECT row_id FROM assigned GROUP BY row_id HAVING count(DISTINCT split) > 1)) AS leaked_rows FROM assigned")
+@query(f"WITH {_ASSIGNED} SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT group_id FROM assigned GROUP BY group_id HAVING count(DISTINCT split) > 1)) AS leaked_groups, (SELECT count(*) FROM (SELECT row_id FROM assigned GROUP BY row_id HAVING count(DISTINCT split) > 1)) AS leaked_rows, (SELECT count(*) FROM (SELECT text FROM assigned GROUP BY text HAVING count(DISTINCT split) > 1)) AS leaked_texts FROM assigned")
 def split_leak_check(spark, sf_dir):
     a = _assigned(spark, sf_dir)
-    counts = [S.leaks(a, k).agg(F.count("*").alias(f"leaked_{n}")) for k, n in (("group_id", "groups"), ("row_id", "rows"))]
-    return a.agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(counts[0])).crossJoin(F.broadcast(counts[1]))  # one row each
+    keys = {"groups": "group_id", "rows": "row_id", "texts": S.text_key(F.col("text"))}
+    out = a.agg(F.count("*").alias("n_rows"))
+    for name, key in keys.items():
+        out = out.crossJoin(F.broadcast(S.leaks(a, key).agg(F.count("*").alias(f"leaked_{name}"))))  # one row each
+    return out
 
 
 @query(f"WITH {_ASSIGNED} SELECT split, label, subject, count(*) AS count FROM assigned GROUP BY split, label, subject")

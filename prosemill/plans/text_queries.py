@@ -244,8 +244,11 @@ def funnel_full_program(spark, sf_dir):
     return cleaning.funnel_summary(cleaning.clean_rows(enriched(spark, sf_dir).select("doc_id", "text")))
 
 
-@query("""SELECT conv_id, regexp_replace(coalesce(arg_min(text, turn) FILTER (role = 'user' AND len(text) > 0), ''), '^ +| +$', '', 'g') AS prompt,
-    regexp_replace(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), ''), '^ +| +$', '', 'g') AS response FROM conversations GROUP BY conv_id""")
+_CONVERSATION = """SELECT conv_id, regexp_replace(coalesce(arg_min(text, turn) FILTER (role = 'user' AND len(text) > 0), ''), '^\\s+|\\s+$', '', 'g') AS prompt,
+    regexp_replace(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), ''), '^\\s+|\\s+$', '', 'g') AS response FROM conversations GROUP BY conv_id"""
+
+
+@query(_CONVERSATION)
 def conversation_extract(spark, sf_dir):
     role = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", role.alias("from"), F.col("text").alias("value")).alias("t"))
@@ -346,7 +349,8 @@ def fused_features(spark, sf_dir):
     return features.fused(style, e, ["a", "b"]).select("row_id", F.size(v).cast("long").alias("width"), F.round(v[2].cast("double"), 6).alias("first_e"), F.round(v[65].cast("double"), 6).alias("last_e"))
 
 
-def _vectors(spark, sf_dir):
+def fixed_vectors(spark, sf_dir):
+    """The embeddings as a labelled table with groups and sources."""
     from pyspark.ml.functions import array_to_vector
 
     e = table(spark, sf_dir, "embeddings")
@@ -359,14 +363,18 @@ def _vectors(spark, sf_dir):
 
 @query()
 def gbt_grid(spark, sf_dir):
-    grid = [{"maxDepth": d, "maxIter": 3, "stepSize": 0.1} for d in (1, 2)]
-    rows = training.cross_validated(_vectors(spark, sf_dir), grid, folds=2)
-    return spark.createDataFrame([(r["idx"], r["params"]["maxDepth"], float(r["score"])) for r in rows], "idx int, depth int, score double")
+    """Five grouped folds for four of the grid's settings. Few rounds: a fit of the grid's 400 takes minutes here (README)."""
+    grid = [g | {"maxIter": 3} for g in training.default_grid() if g["stepSize"] == 0.1 and not g["minWeightFractionPerNode"] and not g["minInfoGain"]]
+    rows = training.cross_validated(fixed_vectors(spark, sf_dir), grid)
+    return spark.createDataFrame([(r["idx"], r["params"]["maxDepth"], r["params"]["minInstancesPerNode"], float(r["score"])) for r in rows], "idx int, depth int, instances int, score double")
 
 
 @query()
 def loso(spark, sf_dir):
-    return training.leave_one_source_out(_vectors(spark, sf_dir), ["ai0", "ai1"], {"maxDepth": 1, "maxIter": 3})
+    """Every AI source of the table is held out once."""
+    rows = fixed_vectors(spark, sf_dir)
+    sources = [r["source"] for r in rows.where("label = 1").select("source").distinct().orderBy("source").collect()]  # a handful
+    return training.leave_one_source_out(rows, sources, {"maxDepth": 1, "maxIter": 5})
 
 
 @query()
@@ -374,29 +382,41 @@ def detect_batch(spark, sf_dir):
     return detect(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")).drop("passages")
 
 
-@query("SELECT doc_id, 'd' || CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 2 WHEN 0 THEN 'AH_other' ELSE 'Physics' END AS subject, 'BSc' AS course FROM documents WHERE doc_id % 10 < 9")
-def xml_ingest(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+_XML_TEXT = "trim(regexp_replace(regexp_replace(text, '[<>&\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g'), '[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'))"
+
+
+def tei_contents(spark, sf_dir):
+    """path and content of a file for each document; every tenth can't be parsed."""
+    docs = P.spread(table(spark, sf_dir, "documents"))
     body = F.regexp_replace(F.col("text"), "[<>&\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", " ")
     discipline = F.when(F.col("doc_id") % 2 == 0, "Other").otherwise("Physics")
     head = F.concat(F.lit('<!DOCTYPE TEI><TEI><sourceDesc><p n="discipline">'), discipline, F.lit('</p><p n="disciplinary group">AH</p></sourceDesc><person><p n="course">BSc</p></person>'))
     xml = F.when(F.col("doc_id") % 10 < 9, F.concat(head, F.lit("<body><p>"), body, F.lit("</p></body></TEI>"))).otherwise(F.lit("<TEI>"))
     path = F.concat(F.lit("/c/AH/Physics/d"), F.col("doc_id").cast("string"), F.lit(".xml"))
-    rows = readers.tei_rows(docs.select(path.alias("path"), F.encode(xml, "UTF-8").alias("content")), "/c")
-    return rows.select(F.substring("id", 2, 20).cast("long").alias("doc_id"), "id", "subject", "course")
+    return docs.select(path.alias("path"), F.encode(xml, "UTF-8").alias("content"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, replace(replace(text, chr(92), ''), '''', '') AS text FROM conversations)
-    SELECT conv_id, regexp_replace(coalesce(arg_min(text, turn) FILTER (role = 'user' AND len(text) > 0), ''), '^ +| +$', '', 'g') AS prompt,
-    regexp_replace(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), ''), '^ +| +$', '', 'g') AS response FROM t GROUP BY conv_id""")
-def conversation_literal(spark, sf_dir):
-    plain = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("")), F.lit("'"), F.lit(""))
-    escaped = F.replace(F.replace(plain, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+@query(f"SELECT doc_id, 'd' || CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 2 WHEN 0 THEN 'AH_other' ELSE 'Physics' END AS subject, 'BSc' AS course, md5({_XML_TEXT}) AS text_md5 FROM documents WHERE doc_id % 10 < 9")
+def xml_ingest(spark, sf_dir):
+    rows = readers.tei_rows(tei_contents(spark, sf_dir), "/c")
+    return rows.select(F.substring("id", 2, 20).cast("long").alias("doc_id"), "id", "subject", "course", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+def conversation_literals(spark, sf_dir):
+    """conv_id and the conversation as a Python literal: quotes, backslashes and line breaks escaped."""
+    escaped = F.col("text")
+    for raw, written in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(written))
     role = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
     turn = F.concat(F.lit("{'from': '"), role, F.lit("', 'value': '"), escaped, F.lit("'}"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", turn.alias("one")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    literal = F.concat(F.lit("["), F.array_join(F.transform("ts", lambda t: t["one"]), ", "), F.lit("]"))
-    return turns.select("conv_id", readers.conversation_parts(literal).alias("p")).select("conv_id", "p.prompt", "p.response")
+    return turns.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("ts", lambda t: t["one"]), ", "), F.lit("]")).alias("literal"))
+
+
+@query(_CONVERSATION)
+def conversation_literal(spark, sf_dir):
+    rows = conversation_literals(spark, sf_dir)
+    return rows.select("conv_id", readers.conversation_parts(F.col("literal")).alias("p")).select("conv_id", "p.prompt", "p.response")
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 200")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prosemill.functions.text import strip
+
 
 def schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
@@ -27,7 +30,6 @@ SCHEMAS = {
     "cleaned_texts": "id string, text string, file string, subject string",
     "combined": "text string, label int, source string, subject string, group_id string",
 }
-TURNS = "array<struct<`from`:string,value:string>>"
 
 
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -85,22 +87,45 @@ def subject_of(discipline: Column, group: Column, folder: Column) -> Column:
     return F.when(other, named).otherwise(F.coalesce(F.nullif(discipline, F.lit("")), F.replace(folder, F.lit("_"), F.lit(" "))))
 
 
-def conversation_parts(text: Column) -> Column:
-    """struct<prompt, response> of a list of turns written as a literal: the first human turn that isn't empty, and the others' turns joined.
+#: Fixed value: a turn whose text stands in double quotes, for literals that can't be parsed.
+_QUOTED_TURN = r"\{{'from':\s*'(?:{roles})',\s*'value':\s*\"\"?(.*?)\"\"?\}}"
+
 
-    Texts of another form are a response without prompt.
+def parse_conversation(text: str | None) -> tuple[str, str]:
+    """Prompt and response of a list of turns written as a Python literal; a text of another form is a response without prompt.
+
+    The prompt is the first human turn that says something, the response all the others' turns. A literal that can't be
+    parsed, or with values that are no text, gives its first turns in double quotes; without such, the raw text is the response.
     """
-    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    is_list = F.startswith(trimmed, F.lit("[")) & F.contains(text, F.lit("'from'")) & F.contains(text, F.lit("'value'"))
-    turns = F.from_json(text, TURNS, {"allowSingleQuotes": "true", "allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"})
-    return F.when(is_list, turns_parts(turns)).otherwise(F.struct(F.lit("").alias("prompt"), F.coalesce(trimmed, F.lit("")).alias("response")))
+    text = text or ""
+    plain = text.strip()
+    if not (plain.startswith("[") and "'from'" in text and "'value'" in text):
+        return "", plain
+    try:
+        turns = [t for t in ast.literal_eval(text) if isinstance(t, dict)]
+        asked = [t.get("value", "") for t in turns if t.get("from") == "human"]
+        said = [t.get("value", "") for t in turns if t.get("from") in ("gpt", "assistant")]
+        return next(filter(None, asked), asked[-1] if asked else "").strip(), " ".join(said).strip()
+    except Exception:  # noqa: BLE001  any text may stand here
+        found = [re.search(_QUOTED_TURN.format(roles=roles), text, re.DOTALL) for roles in ("human", "gpt|assistant")]
+        return (found[0][1] if found[0] else "").strip(), (found[1][1] if found[1] else text).strip()
+
+
+def conversation_parts(text: Column) -> Column:
+    """struct<prompt, response> of parse_conversation, in Arrow batches: only Python knows its own literals."""
+
+    @F.pandas_udf("prompt string, response string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_conversation(v) for v in values], columns=["prompt", "response"], index=values.index)
+
+    return run.asNondeterministic()(text)
 
 
 def turns_parts(turns: Column) -> Column:
     """The same from array<struct<from, value>>."""
     asked = F.filter(turns, lambda t: (t["from"] == "human") & (F.length(t["value"]) > 0))
     said = F.transform(F.filter(turns, lambda t: t["from"].isin("gpt", "assistant")), lambda t: F.coalesce(t["value"], F.lit("")))
-    return F.struct(F.trim(F.coalesce(F.get(asked, F.lit(0))["value"], F.lit(""))).alias("prompt"), F.trim(F.coalesce(F.array_join(said, " "), F.lit(""))).alias("response"))
+    return F.struct(strip(F.coalesce(F.get(asked, F.lit(0))["value"], F.lit(""))).alias("prompt"), strip(F.coalesce(F.array_join(said, " "), F.lit(""))).alias("response"))
 
 
 # --- TEI XML -------------------------------------------------------------------------------------------------------
@@ -132,17 +157,33 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[["path"]].reset_index(drop=True), out.where(out.notna(), None)], axis=1)
 
 
-def tei_rows(contents: DataFrame, root: str = "") -> DataFrame:
-    """id, text, file, subject, course of parsed files. contents: path, content (binary); files that can't be read are left out."""
+def tei_parsed(contents: DataFrame, root: str = "") -> DataFrame:
+    """id, text, file, subject, course of all files; text is null for those that can't be read or hold none. contents: path, content (binary)."""
     parsed = contents.select("path", "content").mapInPandas(_parse_files, "path string, text string, discipline string, disciplinary_group string, course string")
     relative = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/") + "/") if root else "^$", "")
     parts = F.split(relative, "/")
     folder = F.when(F.size(parts) > 2, parts[1]).otherwise(F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit("")))
     group = F.coalesce(F.nullif("disciplinary_group", F.lit("")), F.when(F.size(parts) > 0, parts[0]))
     name = F.element_at(parts, -1)
-    return parsed.where("text is not null").select(F.regexp_replace(name, r"\.[^.]*$", "").alias("id"), "text", relative.alias("file"), subject_of(F.col("discipline"), group, folder).alias("subject"), "course")
+    return parsed.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("id"), "text", relative.alias("file"), subject_of(F.col("discipline"), group, folder).alias("subject"), "course")
+
+
+def tei_rows(contents: DataFrame, root: str = "") -> DataFrame:
+    """The files that could be read."""
+    return tei_parsed(contents, root).where("text is not null")
+
+
+def tei_summary(parsed: DataFrame) -> DataFrame:
+    """Metric, Count of tei_parsed: files found, rows, files skipped, subjects."""
+    there = F.col("text").isNotNull()
+    counts = parsed.agg(F.count("*").alias("a"), F.count_if(there).alias("b"), F.count_if(~there).alias("c"), F.count_distinct(F.when(there, F.col("subject"))).alias("d"))
+    names = {"a": "XML files found", "b": "Rows written", "c": "Skipped (unreadable)", "d": "Unique subjects"}
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(v).alias("Metric"), F.col(k).alias("Count")) for k, v in names.items()))))
+
+
+def tei_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path).select("path", "content")
 
 
 def read_tei(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path)
-    return tei_rows(files.select("path", "content"), path)
+    return tei_rows(tei_files(spark, path), path)

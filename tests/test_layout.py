@@ -38,3 +38,11 @@ def test_row_numbers_are_gapless(spark, partitions):
         assert tied.selectExpr("count(distinct row_id) d", "max(row_id) hi", "count_if(row_id div 500000 <> tie) wrong").first()[:] == (1_500_000, 1_499_999, 0)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_public_names():
+    import prosemill
+
+    assert len(prosemill.__all__) > 80 and all(callable(getattr(prosemill, name)) for name in prosemill.__all__)
+    with pytest.raises(AttributeError):
+        prosemill.nothing

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from prosemill.functions import text as T
 from prosemill.operators import chunking, cleaning, combine, evaluation, features, linking, ranking, splitting, training
 from prosemill.operators.detect import detect
-from prosemill.sources import readers, sinks
+from prosemill.sources import builders, readers, sinks
 from prosemill.streaming.score import score_stream, submissions
 
 PROSE = "This is a plain sentence of the kind that people write when they explain a thing to each other. "
@@ -184,7 +184,7 @@ def test_training(spark):
     assert search.chosen["depth"] == 1 and search.model is not None
     ranked = training.cross_validated(rows, grid, 2)
     chosen = training.select_on_validation(ranked, rows.where("row_id % 4 > 0"), rows.where("row_id % 4 = 0"), 1)
-    assert chosen.chosen["cv_rank"] == 0 and len(training.default_grid()) == 16
+    assert chosen.chosen["cv_rank"] == 0 and len(training.default_grid()) == 32
     assert training.importances(chosen.model, ["a", "b"]).count() == 2
 
 
@@ -251,3 +251,56 @@ def test_oracles_have_queries():
 def test_words(spark):
     got = spark.createDataFrame([("a [[CODE]] b c",), (None,)], "t string").select(T.count_words(F.col("t")), T.score_band(F.lit(20.0))).collect()
     assert [r[0] for r in got] == [3, 0] and got[0][1] == "Likely Human-Written"
+
+
+def test_conversation_literals(spark):
+    cases = {
+        None: ("", ""), " plain text ": ("", "plain text"), "[1, 2]": ("", "[1, 2]"),
+        "[{'from': 'human', 'value': 'why?'}, {'from': 'gpt', 'value': 'as' ' it \\x41'}]": ("why?", "as it A"),
+        "[{'from': 'system', 'value': 's'}, {'from': 'human', 'value': ''}, {'from': 'human', 'value': 'q'}, {'from': 'assistant', 'value': 'a'}, {'from': 'gpt', 'value': 'b '}]": ("q", "a b"),
+        "[{'from': 'human', 'value': \"it's\"}, {'from': 'gpt', 'value': None}]": ("it's", "[{'from': 'human', 'value': \"it's\"}, {'from': 'gpt', 'value': None}]"),
+        "[{'from': 'human', 'value': \"q\"}, {'from': 'gpt', 'value': \"broken\"}": ("q", "broken"),
+        "[{'from': 'gpt', 'value': 'never closed": ("", "[{'from': 'gpt', 'value': 'never closed"),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: (r["p"]["prompt"], r["p"]["response"]) for r in rows.select("t", readers.conversation_parts(F.col("t")).alias("p")).collect()}
+    assert got == cases
+
+
+def test_builders(spark, tmp_path):
+    texts = [PROSE * 6 + "See https://x.org now.", PROSE * 6, "", None, "Это по-русски", "[[CODE]] " * 40, "# Title **bold** words of " + PROSE]
+    rows = spark.createDataFrame([(t, 1, None, "s", None) for t in texts], "text string, label int, prompt_name string, source string, RDizzl3_seven string")
+    sinks.write_csv(rows.coalesce(1), str(tmp_path / "raw"))
+    kept, summary = builders.build(spark, "gemini", str(tmp_path / "raw"), str(tmp_path / "out"))
+    counts = {r["Metric"]: r["Count"] for r in summary.collect()}
+    assert counts["Total Rows Loaded"] == 7 and counts["Dropped (empty)"] == 2 and counts["Dropped (foreign)"] == 1 and counts["Dropped (dense)"] == 1 and counts["Rows Kept"] == kept.count() == 3 and counts["[[URL]] Tags Inserted"] == 1
+    assert kept.columns == list(builders.SOURCES["gemini"].output) and kept.where("text like 'Title bold words%'").count() == 1
+    builders.build(spark, "gemini", str(tmp_path / "raw"), str(tmp_path / "out"), sample_size=2)
+    assert (tmp_path / "out" / "gemini_cleaned_sample_2").is_dir()
+    with pytest.raises(ValueError):
+        builders.prepared(rows.drop("label"), "gemini")
+
+
+def test_ingest_counts_what_it_cannot_read(spark, tmp_path):
+    good = '<!DOCTYPE TEI><TEI><sourceDesc><p n="discipline">Law</p></sourceDesc><body><p>Some  words</p><p>more</p></body></TEI>'
+    for name, text in (("a.xml", good), ("b.xml", "<TEI>"), ("c.xml", "<TEI><body> </body></TEI>"), ("d.xml", good)):
+        (tmp_path / "AH" / "Law").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "AH" / "Law" / name).write_text(text)
+    summary = {r["Metric"]: r["Count"] for r in builders.ingest_essays(spark, str(tmp_path), str(tmp_path / "out")).collect()}
+    assert summary == {"XML files found": 4, "Rows written": 2, "Skipped (unreadable)": 2, "Unique subjects": 1}
+
+
+def test_embeddings_go_on_where_they_stopped(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id as row_id", "'t' || id as text")
+    calls = []
+
+    def encoder(text):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("stopped")
+        return F.array(F.length(text).cast("float"))
+
+    with pytest.raises(RuntimeError):
+        sinks.embed(rows, encoder, str(tmp_path / "e"), 4)
+    out = sinks.embed(rows, encoder, str(tmp_path / "e"), 4)
+    assert len(calls) == 5 and out.count() == out.select("row_id").distinct().count() == 40

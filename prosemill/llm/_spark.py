@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prosemill.sources.staging import drop_path, drop_staged, shared_folder, stage_path, staged
 
-__all__ = ["HashFilter", "drop_path", "drop_staged", "fresh", "hash_filter", "shared_folder", "ship", "stage_path", "staged"]
+__all__ = ["HashFilter", "drop_path", "drop_staged", "filter_capacity", "fresh", "hash_filter", "shared_folder", "ship", "stage_path", "staged"]
 
 #: A filter of 2**MAX_FILTER_BITS bits is 32 MB: the bound of every filter that is sent to the executors.
 MAX_FILTER_BITS = 28
@@ -64,6 +64,11 @@ class HashFilter:
         return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def filter_capacity() -> int:
+    """Keys up to which a filter has 16 bits or more for each, so that one in sixteen or less passes by chance."""
+    return (1 << MAX_FILTER_BITS) // 16
+
+
 def hash_filter(df: DataFrame, column: str, rows: int) -> HashFilter:
     """A filter with 16 bits or more per row, up to 2**MAX_FILTER_BITS bits in all whatever the table's size.
 

@@ -8,7 +8,7 @@ begin one are sorted.
    those met twice or more go into a filter of bounded size.
 2. Suffixes at the starts of one anchor make a stretch. Stretches that pass the filter are suffix records, with their
    leading 32 bytes as four tokens of eight and a hash of all their bytes. Spark's sampled splitters range-partition them by
-   the leading tokens into buckets of BUCKET_ROWS rows on average. A bucket is sorted by multikey quicksort, vectorised: the
+   the leading tokens, and the hash where they are equal, into buckets of BUCKET_ROWS rows on average. A bucket is sorted by multikey quicksort, vectorised: the
    first token parts it into runs of equal ones, only runs of two or more are sorted by the next token, and so on to the
    hash. Equal neighbours are marked, also across the buckets' boundaries: the first and the last record of each bucket
    are compared with those of the others. A marked stretch is repeated as a whole, so one record serves up to SPREAD suffixes.
@@ -19,7 +19,8 @@ begin one are sorted.
 
 A record's place is part of the splitters' order, so a string that a third of the corpus repeats is dealt to many buckets.
 Common bytes that many stretches share are looked up in a written table, a join that Spark can split. False positives of
-the filters only add records that match nothing.
+the filters only add records that match nothing. Beyond what a filter holds (filter_capacity), anchors are met in a semi-join
+and places travel to their documents as lists, so no level sends more than what goes on; results are the same either way.
 
 Nulls and empty texts have no bytes. Rows that repeat an id and a text are copies of each other like any other equal
 texts; spans are kept apart by id and CRC-32. Texts under LENGTH bytes lose nothing. A text of any length is one buffer of
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm._bytes import Rolling, cover, pieces, place_key, place_keys, rolling_bytes, signed, spans
-from prosemill.llm._spark import HashFilter, drop_staged, hash_filter, ship, staged
+from prosemill.llm._spark import HashFilter, drop_staged, filter_capacity, hash_filter, ship, staged
 
 LENGTH = 400
 SPREAD = 128
@@ -123,9 +124,15 @@ def _records(part: pa.RecordBatch, s: Stretches, at: np.ndarray, last: np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], COLUMNS)
 
 
-def _places(part: pa.RecordBatch, s: Stretches, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-    return place_key(ids[doc], part.column(1).to_numpy(zero_copy_only=False)[doc], at - s.offs[doc])
+def _chosen(part: pa.RecordBatch, s: Stretches, at: np.ndarray, doc: np.ndarray, places: HashFilter | None, column: str) -> np.ndarray:
+    """Which of the places go on: by the filter, or by the document's list where there is none."""
+    if places is not None:
+        ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        return places.test(place_key(ids[doc], part.column(1).to_numpy(zero_copy_only=False)[doc], at - s.offs[doc]))
+    lists = part.column(part.schema.names.index(column))
+    owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+    known = s.offs[owner] + lists.flatten().to_numpy(zero_copy_only=False)
+    return np.isin(at, known)
 
 
 def _stretch_sender(anchors: HashFilter, length: int):
@@ -153,18 +160,18 @@ def blocks(s: Stretches, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.maximum(s.first[stretch], far), np.minimum(s.last[stretch], near), stretch, common
 
 
-def _block_sender(anchors: HashFilter, stretch_places: HashFilter, length: int, block_places: HashFilter | None = None):
-    """Blocks of the stretches that go on, or the single suffixes of the blocks that do."""
+def _block_sender(anchors: HashFilter, length: int, stretch_places: HashFilter | None, single: bool = False, block_places: HashFilter | None = None):
+    """Blocks of the stretches that go on, or (single) the suffixes of the blocks that do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in pieces(batch, "text"):
                 s = Stretches(data, offs, length)
                 some = np.flatnonzero(anchors.test(s.anchors()))
-                some = some[stretch_places.test(_places(part, s, s.first[some], s.doc[some]))]
+                some = some[_chosen(part, s, s.first[some], s.doc[some], stretch_places, "stretch_starts")]
                 first, last, stretch, common = blocks(s, some)
-                if block_places is not None:
-                    go = np.flatnonzero(block_places.test(_places(part, s, first, s.doc[stretch])))
+                if single:
+                    go = np.flatnonzero(_chosen(part, s, first, s.doc[stretch], block_places, "block_starts"))
                     n = last[go] - first[go] + 1
                     which = np.repeat(go, n)
                     first = first[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -215,7 +222,7 @@ def compared(records: DataFrame, name: str) -> DataFrame:
     """The records with `repeated`, and `leads` for the first of equal ones in a bucket. Range partition, local sort, neighbours."""
     kept = staged(records, f"{name}-records")
     buckets = max(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // BUCKET_ROWS))
-    ranged = kept.repartitionByRange(buckets, *KEYS[:TOKENS], *PLACE)
+    ranged = kept.repartitionByRange(buckets, *KEYS, *PLACE)  # in the order of the sort, so equal records of two buckets stand at their boundary
     out = staged(ranged.mapInArrow(_sorter, RECORD + ", repeated boolean, leads boolean, edge boolean"), name)
     drop_staged(kept)
     # two records of each bucket at most
@@ -225,29 +232,44 @@ def compared(records: DataFrame, name: str) -> DataFrame:
     return marked
 
 
-def going_on(records: DataFrame, name: str) -> HashFilter:
-    """The places to look at more closely: records that aren't repeated, if others have their common bytes, with those others."""
+def going_on(records: DataFrame, name: str) -> DataFrame:
+    """The places to look at more closely, written: records that aren't repeated, if others have their common bytes, with those others."""
     candidates = records.where("not repeated or leads")
     shared = candidates.groupBy("common").agg(F.count("*").alias("n"), F.min("repeated").alias("all_repeated")).where("n > 1 and not all_repeated").select("common")
     shared = staged(shared, f"{name}-common")  # a table of its own, so that Spark can split frequent common bytes in the join
-    found = candidates.join(shared, "common", "left_semi").select(*PLACE).mapInArrow(place_keys, "place long").distinct()
-    places = staged(found, name)
-    out = hash_filter(places, "place", places.count())
-    drop_staged(places, shared)
+    out = staged(candidates.join(shared, "common", "left_semi").select(*PLACE), name)
+    drop_staged(shared)
     return out
 
 
+def narrowed(docs: DataFrame, places: DataFrame, column: str) -> tuple[DataFrame, HashFilter | None]:
+    """The documents and a filter of the places; beyond what a filter holds, the documents that have places, with their list in `column`."""
+    n = places.count()
+    if n <= filter_capacity():
+        return docs, hash_filter(places.mapInArrow(place_keys, "place long"), "place", n)
+    lists = staged(places.groupBy(F.col("doc_id").alias("known"), "crc").agg(F.collect_set("start").alias(column)), column)
+    known = docs.withColumn("known", F.coalesce("doc_id", F.lit(NO_ID)))
+    return known.join(lists, ["known", "crc"]).select(*docs.columns, column), None
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, crc, codes, row_key), written: start * SPREAD + extent of stretches whose strings of `length` bytes are all repeated. docs: doc_id, crc, text."""
     sent = docs.mapInArrow(_anchor_sender(length), "anchor long, n long")
     shared = staged(sent.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
-    anchor_filter = hash_filter(shared, "anchor", shared.count())
+    n_shared = shared.count()
+    anchor_filter = hash_filter(shared, "anchor", n_shared)
+    records = docs.mapInArrow(_stretch_sender(anchor_filter, length), RECORD)
+    if n_shared > filter_capacity():  # the filter lets too much pass: meet the anchors themselves
+        records = records.join(shared.withColumnRenamed("anchor", "common"), "common", "left_semi").select(*COLUMNS)
+    stretches = compared(records, "stretches")
     drop_staged(shared)
-    stretches = compared(docs.mapInArrow(_stretch_sender(anchor_filter, length), RECORD), "stretches")
     stretch_places = going_on(stretches, "stretch-places")
-    parts = compared(docs.mapInArrow(_block_sender(anchor_filter, stretch_places, length), RECORD), "blocks")
+    some, stretch_filter = narrowed(docs, stretch_places, "stretch_starts")
+    parts = compared(some.mapInArrow(_block_sender(anchor_filter, length, stretch_filter), RECORD), "blocks")
     block_places = going_on(parts, "block-places")
-    suffixes = compared(docs.mapInArrow(_block_sender(anchor_filter, stretch_places, length, block_places), RECORD), "suffixes")
+    some, block_filter = narrowed(some, block_places, "block_starts")
+    suffixes = compared(some.mapInArrow(_block_sender(anchor_filter, length, stretch_filter, True, block_filter), RECORD), "suffixes")
+    drop_staged(stretch_places, block_places)
     code = (F.col("start").cast("long") * SPREAD + F.col("more")).alias("code")
     marked = [x.where("repeated").select("doc_id", "crc", code) for x in (stretches, parts, suffixes)]
     codes = marked[0].unionByName(marked[1]).unionByName(marked[2]).groupBy("doc_id", "crc").agg(F.collect_set("code").alias("codes"))

@@ -65,18 +65,25 @@ def test_multikey_sort():
         assert head.tolist() == [k == 0 or rows[k] != rows[k - 1] for k in range(n)]
 
 
-def test_suffix_dedup_of_long_texts(spark, monkeypatch):
-    """Texts above the size of a buffer, a hot text, and buckets so small that equal records stand on both sides of boundaries."""
+@pytest.mark.parametrize("filter_bits", [28, 15])
+def test_suffix_dedup_of_long_texts(spark, monkeypatch, filter_bits):
+    """Texts above the size of a buffer, a hot text, buckets so small that equal records stand on both sides of boundaries, texts that begin alike, and more places than a filter holds."""
     import random
 
+    from prosemill.llm import _spark
     from prosemill.llm import suffix_dedup as module
 
     rng = random.Random(12)
     monkeypatch.setattr(module, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(_spark, "MAX_FILTER_BITS", filter_bits)
+    if filter_bits == 15:
+        monkeypatch.setattr(module, "filter_capacity", lambda: 3)
     noise = lambda n: "".join(rng.choice("abcdefghijklmnop \né") for _ in range(n))
     long, passage, hot = noise(260_000), noise(700), noise(900)
     texts = [long, noise(300) + long[1000:90_000] + noise(50), "ab" * 3000, "x" * 5000, noise(120_000) + passage + noise(120_000) + passage] + [noise(rng.randrange(50)) + hot for _ in range(60)] + [hot[:400], hot[1:401] + "q", hot[:399]]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    head, tails = noise(300), [noise(400) for _ in range(5)]
+    texts += [head + rng.choice(tails)[: rng.randrange(90, 400)] + noise(rng.randrange(60)) for _ in range(150)]
+    table = spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     raw = [t.encode() for t in texts]
     seen = Counter(b[k : k + 400] for b in raw for k in range(len(b) - 399))
     want = {}
@@ -86,7 +93,7 @@ def test_suffix_dedup_of_long_texts(spark, monkeypatch):
             if seen[b[k : k + 400]] > 1:
                 gone[k : k + 400] = True
         want[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), sha(bytes(np.frombuffer(b, np.uint8)[~gone])))
-    assert {r["doc_id"]: tuple(r)[1:] for r in module.suffix_dedup(table).collect()} == want
+    assert {r["doc_id"] or 0: tuple(r)[1:] for r in module.suffix_dedup(table).collect()} == want
 
 
 def test_suffix_dedup(docs, empty):

@@ -17,7 +17,9 @@ Counts are pre-aggregated per buffer and task; hot stretches are joined with the
 side Spark splits. False positives of the filters only add windows that match nothing.
 
 Nulls and empty texts have no words. Rows that repeat an id don't remove each other's words (no smaller id), and spans
-are kept apart by the CRC-32 of the text. A null id is larger than all others. Texts under WINDOW words lose nothing.
+are kept apart by the CRC-32 of the text. A null id is larger than all others. Texts under WINDOW words lose nothing. A text
+of any length is one buffer of its own, so nothing is cut at its inside. An empty table gives an empty result; other columns
+are left out. Beyond what a filter holds (filter_capacity) more windows are sent, up to all of them, and results are the same.
 """
 
 from __future__ import annotations
@@ -147,7 +149,7 @@ def _window_sender(shared: HashFilter, places: HashFilter, window: int):
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, crc, codes): start * SPREAD + extent of runs of windows that a smaller document has. docs: doc_id, crc, text."""
+    """(doc_id, crc, codes, row_key), written: start * SPREAD + extent of runs of windows that a smaller document has. docs: doc_id, crc, text."""
     sent = docs.mapInArrow(_anchor_sender(window), "hash long, n int")
     shared = staged(sent.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "anchors")
     anchor_filter = hash_filter(shared, "hash", shared.count())
@@ -170,7 +172,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     lost = windows.join(smallest, key).where("doc_id > least")
     code = (F.col("start").cast("long") * SPREAD + F.col("more")).alias("code")
     both = stretches.where("doc_id > least").select("doc_id", "crc", code).unionByName(lost.select("doc_id", "crc", code))
-    return both.groupBy("doc_id", "crc").agg(F.collect_set("code").alias("codes"))
+    codes = both.groupBy("doc_id", "crc").agg(F.collect_set("code").alias("codes"))
+    out = staged(codes.withColumn("row_key", F.xxhash64("doc_id", "crc")), "spans")
+    drop_staged(stretches, smallest)
+    return out
 
 
 def _remover(shared: HashFilter):
@@ -239,7 +244,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), text.alias("text"))
-    found = staged(repeated_spans(source, window).withColumn("row_key", F.xxhash64("doc_id", "crc")), "spans")
+    found = repeated_spans(source, window)
     span_filter = hash_filter(found, "row_key", found.count())
     known = F.coalesce("doc_id", F.lit(NO_ID))
     keyed = source.select("doc_id", "crc", F.xxhash64(known, "crc").alias("row_key"), "text")

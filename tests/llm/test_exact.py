@@ -55,6 +55,34 @@ def test_substring_dedup(docs, empty, window):
     assert substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("filter_bits", [28, 15])
+def test_substring_dedup_of_long_texts(spark, monkeypatch, filter_bits):
+    """Texts above the size of a buffer, a hot passage, repeated words, and filters that are full."""
+    import random
+
+    from prosemill.llm import _spark
+
+    monkeypatch.setattr(_spark, "MAX_FILTER_BITS", filter_bits)
+    rng = random.Random(15)
+    word = lambda: f"w{rng.randrange(30_000)}"
+    long, passage = [word() for _ in range(50_000)], [word() for _ in range(70)]
+    texts = [long, [word()] * 3 + long[700:21_000] + [word()], ["same"] * 400, ["same"] * 60, long[49_960:] + ["x"] * 9 + long[:50]]
+    texts += [[word() for _ in range(rng.randrange(30))] + passage + [word() for _ in range(rng.randrange(30))] for _ in range(50)]
+    least = {}
+    for i, w in enumerate(texts):
+        for at in range(len(w) - 49):
+            least.setdefault(tuple(w[at : at + 50]), i)
+    want = {}
+    for i, w in enumerate(texts):
+        gone = set()
+        for at in range(len(w) - 49):
+            if least[tuple(w[at : at + 50])] < i:
+                gone.update(range(at, at + 50))
+        want[i] = (len(w), len(gone), sha(" ".join(x for n, x in enumerate(w) if n not in gone)))
+    table = spark.createDataFrame([(i, "  ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(table).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()} == want
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 50, 3000):

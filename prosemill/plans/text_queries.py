@@ -363,7 +363,7 @@ def fixed_vectors(spark, sf_dir):
 
 @query()
 def gbt_grid(spark, sf_dir):
-    """Five grouped folds for four of the grid's settings. Few rounds: a fit of the grid's 400 takes minutes here (README)."""
+    """Five grouped folds for four of the grid's settings. Few rounds: 160 fits of 400 rounds would take most of an hour here (README)."""
     grid = [g | {"maxIter": 3} for g in training.default_grid() if g["stepSize"] == 0.1 and not g["minWeightFractionPerNode"] and not g["minInfoGain"]]
     rows = training.cross_validated(fixed_vectors(spark, sf_dir), grid)
     return spark.createDataFrame([(r["idx"], r["params"]["maxDepth"], r["params"]["minInstancesPerNode"], float(r["score"])) for r in rows], "idx int, depth int, instances int, score double")

@@ -151,7 +151,7 @@ def style_sink(spark, sf_dir):
 _ANNOTATED = "SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+')) AS n FROM documents"
 
 
-@query(f"""SELECT doc_id, 1.0::DOUBLE AS noun_share, round((CASE WHEN n > 1 THEN n / 2.0 ELSE 0 END)::DOUBLE, 4) AS distance, round(((n - 1) / CAST(n AS DOUBLE))::DOUBLE, 4) AS depth FROM ({_ANNOTATED}) WHERE n > 0""")
+@query(f"""SELECT doc_id, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END AS noun_share, round((CASE WHEN n > 1 THEN n / 2.0 ELSE 0 END)::DOUBLE, 4) AS distance, round(coalesce((n - 1) / CAST(nullif(n, 0) AS DOUBLE), 0)::DOUBLE, 4) AS depth FROM ({_ANNOTATED})""")
 def annotator_provider(spark, sf_dir):
     """Syntactic features from a provider's tokens: here all nouns that hang on the first token."""
 
@@ -159,7 +159,7 @@ def annotator_provider(spark, sf_dir):
         each = T.words(text)
         return F.transform(each, lambda w, i: F.struct(i.alias("i"), F.lit(0).alias("head"), F.lit("NOUN").alias("pos"), F.when(i == 0, "ROOT").otherwise("dep").alias("dep")))
 
-    docs = spread(table(spark, sf_dir, "documents")).where(F.size(T.words(F.col("text"))) > 0)
+    docs = spread(table(spark, sf_dir, "documents"))
     syntax = features.syntactic_features(annotator(F.col("text")))
     return docs.select("doc_id", syntax["pos_noun_ratio"].alias("noun_share"), F.round(syntax["avg_dependency_length"], 4).alias("distance"), F.round(syntax["mean_parse_tree_depth"], 4).alias("depth"))
 

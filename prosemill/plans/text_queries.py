@@ -326,10 +326,10 @@ def split_passages(spark, sf_dir):
 
 @query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\p{{L}}+'), lambda w: lower(w)) AS w FROM documents),
     e AS (SELECT doc_id, unnest(w) AS w FROM t), c AS (SELECT doc_id, w, count(*) AS n FROM e GROUP BY ALL)
-    SELECT doc_id, round(count(*) / CAST(sum(n) AS DOUBLE), 9) AS ttr, round(count(*) FILTER (n = 1) / CAST(sum(n) AS DOUBLE), 9) AS hapax_legomena_ratio, round(sum(n * len(w)) / CAST(sum(n) AS DOUBLE), 9) AS avg_word_length,
-    round(coalesce(sum(n) FILTER (list_contains({_list(sorted(set(R.FUNCTION_WORDS)))}, w)), 0) / CAST(sum(n) AS DOUBLE), 9) AS function_word_ratio FROM c GROUP BY doc_id""")
+    SELECT doc_id, round(coalesce(count(w) / CAST(sum(n) AS DOUBLE), 0), 9) AS ttr, round(coalesce(count(*) FILTER (n = 1) / CAST(sum(n) AS DOUBLE), 0), 9) AS hapax_legomena_ratio, round(coalesce(sum(n * len(w)) / CAST(sum(n) AS DOUBLE), 0), 9) AS avg_word_length,
+    round(coalesce(sum(n) FILTER (list_contains({_list(sorted(set(R.FUNCTION_WORDS)))}, w)) / CAST(sum(n) AS DOUBLE), 0), 9) AS function_word_ratio FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""")
 def lexical_features(spark, sf_dir):
-    docs = P.spread(table(spark, sf_dir, "documents")).where(F.col("text").rlike(r"\p{L}"))  # the others' features are zeros, which SQL has no groups for
+    docs = P.spread(table(spark, sf_dir, "documents"))
     found = docs.select("doc_id", T.lexical_struct(F.col("text")).alias("f"))
     return found.select("doc_id", *(F.round(F.col("f")[k], 9).alias(k) for k in features.LEXICAL))
 

@@ -77,10 +77,11 @@ def test_near_duplicates(docs, empty):
     root = classes_of(pairs, len(distinct))
     first = {t: min((i for i, x in rows if x == t and i is not None), default=None) for t in distinct}
     want = {t: first[distinct[root[k]]] for k, t in enumerate(distinct)}
-    joined = near_duplicates(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
+    found = near_duplicates(docs)
+    joined = found.join(docs.select("doc_id", "text"), "doc_id").collect()
     for r in joined:
         assert r["class_id"] == (want[r["text"]] if r["text"] is not None else r["doc_id"]), r["text"][:60]
-    assert near_duplicates(docs).count() == len(rows)
+    assert found.count() == len(rows)
     kept = without_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert kept.where("text is not null").count() == len({want[t] for t in distinct})

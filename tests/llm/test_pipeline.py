@@ -119,5 +119,6 @@ def test_stages_keep_the_columns(spark, tmp_path):
             assert now.dtypes == docs.dtypes, name
         kept = sorted((str(r["doc_id"]), str(r["text"])[:20]) for r in now.collect())
         assert kept == (sorted([("1", "plain words of a tex"), ("2", ""), ("3", "None"), ("None", "None"), ("None", "no id but words"), ("4", "mail [EMAIL] now"), ("5", "x" * 20)]) if rows_ else [])
-        out = corpus_pipeline.run(spark, at).collect()
+        # the last stage alone for the rows, the whole run for the empty table
+        out = (corpus_pipeline.STAGES[-1][1](spark, now, at) if rows_ else corpus_pipeline.run(spark, at)).collect()
         assert sum(r["start"] == 0 for r in out) == len(kept)

@@ -2,10 +2,14 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from prosemill.llm import exact_pairs
+from prosemill.llm._spark import HashFilter
 from prosemill.llm.decontamination import decontamination, tile, tile_by_bisection, without_contaminated
 from prosemill.llm.near_dedup import aligned, components, near_duplicates, without_near_duplicates
 from prosemill.llm.toxicity import Automaton, lowered, toxicity, without_toxic
@@ -115,6 +119,67 @@ def test_near_duplicates_behind_unrelated_texts(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_duplicates(table).collect()} == dict(enumerate(want))
 
 
+def test_near_duplicates_that_share_no_sketch(spark):
+    """Substitutions spread evenly leave no 5-word string in common, so nothing but the exact way meets these pairs."""
+    rng = random.Random(23)
+    texts = []
+    for n in (5, 6, 9, 10, 14, 15, 19, 20, 24, 30, 60, 150, 400):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        allowed = int(0.2 * n + 1e-9)
+        for more in (0, 1):  # a link, and one edit too many
+            spread = set(np.linspace(2, n - 1, allowed + more).astype(int)) if n < 20 else set(range(4, n, 5)[: allowed + more]) | (set(range(1, 1 + more)))
+            texts.append(words)
+            texts.append([f"x{rng.randrange(10**6)}" if k in spread else w for k, w in enumerate(words)])
+            words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        shorter = list(words)
+        for at in sorted(rng.sample(range(n), allowed), reverse=True):
+            del shorter[at]
+        texts += [words, shorter]
+    texts += [["same"] * 40, ["same"] * 33, ["same"] * 32, ["same"] * 20, ["same"] * 3, ["same"] * 2]
+    want = classes_of([(j, i) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)], len(texts))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")  # rows repeat
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates(table).collect()} == dict(enumerate(want))
+    assert without_near_duplicates(table).count() == len(set(want))
+
+
+def test_candidates_hold_every_link():
+    """Pairs of random texts with many strings in common, some repeated inside of a text, against the edit distance."""
+    rng = random.Random(24)
+    base = [[f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 70))] for _ in range(12)] + [["a"] * 30, ["a", "b"] * 15]
+    texts = list(base)
+    for _ in range(110):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(0, len(words) // 4 + 2)):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (kind > 0)] = [f"w{rng.randrange(30)}"] if kind < 2 else []
+            words = words or ["w"]
+        texts.append(words)
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([" ".join(t) for t in texts])], ["row_key", "text"])
+
+    class Everything:
+        def test(self, hashes):
+            return np.ones(len(hashes), bool)
+
+    for similarity in (0.6, 0.8, 0.9):
+        blocks = list(exact_pairs._all_grams(Everything(), similarity, 5)([batch]))
+        bits = {r["part"]: r["held"] for b in blocks for row in b.to_pylist() for f in exact_pairs._repeated(5, 20)([pa.RecordBatch.from_pylist([row], b.schema)]) for r in f.to_pylist()}
+        table = np.concatenate([np.frombuffer(bits.get(part, bytes(1 << 12)), np.uint8) for part in range(32)])
+        shared = HashFilter(20, SimpleNamespace(value=table.tobytes()))
+        live = pa.Table.from_batches(exact_pairs._live_texts(Everything(), shared, similarity)([batch]))
+        for name in ("class", "id", "nth"):
+            live = live.append_column(name, live.column("row_key"))
+        parts = [row for b in exact_pairs._entries(similarity, 5)(live.combine_chunks().to_batches()) for row in b.to_pylist()]
+        met = set()
+        for row in parts:
+            held = np.frombuffer(row["held"], exact_pairs.ENTRY)
+            for a, b in exact_pairs.candidates(held, similarity):
+                met |= {(max(x, y), min(x, y)) for x, y in zip(held["nth"][a].tolist(), held["nth"][b].tolist(), strict=True)}
+        links = {(i, j) for i in range(n) for j in range(i) if edit(texts[i], texts[j]) <= int((1 - similarity) * max(len(texts[i]), len(texts[j])) + 1e-9)}
+        assert len(links) > 50 and not links - met
+
+
 def test_near_duplicates_of_very_long_texts(spark):
     rng = random.Random(22)
     long = [f"w{rng.randrange(10**6)}" for _ in range(40_000)]

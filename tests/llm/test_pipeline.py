@@ -122,3 +122,12 @@ def test_stages_keep_the_columns(spark, tmp_path):
         # the last stage alone for the rows, the whole run for the empty table
         out = (corpus_pipeline.STAGES[-1][1](spark, now, at) if rows_ else corpus_pipeline.run(spark, at)).collect()
         assert sum(r["start"] == 0 for r in out) == len(kept)
+
+
+def test_near_copies_that_share_no_sketch(spark):
+    """A changed word in every five leaves no string of five in common; a stage keeps one document of the two all the same."""
+    words = [f"v{k}" for k in range(100)]
+    near = [f"x{k}" if k % 5 == 4 else w for k, w in enumerate(words)]
+    far = [f"y{k}" if k % 5 == 4 or k == 1 else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(4, " ".join(near)), (2, " ".join(words)), (9, " ".join(far)), (5, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [2, 5, 9]

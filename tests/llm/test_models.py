@@ -4,6 +4,7 @@ import os
 import pickle
 import random
 import re
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -201,6 +202,50 @@ def test_candidates_hold_every_link():
         assert len(links) > 50 and not links - met
 
 
+def test_texts_that_share_a_passage_are_no_candidates(spark):
+    """Long texts that share a passage and differ in most of their words were all met in pairs; links among them are still found."""
+    rng = random.Random(31)
+    passage = [f"p{k}" for k in range(300)]
+    own = lambda: [f"v{rng.randrange(2000)}" for _ in range(350)]
+    texts = [[*own(), *passage, *own()] for _ in range(40)]
+    texts += [["x" if k % 7 == 3 else w for k, w in enumerate(texts[i])] for i in range(5)]
+    rows = [(i, " ".join(t), (i, i), (i, i)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, node struct<doc_id: long, nth: long>, root struct<doc_id: long, nth: long>").withColumn("row_key", F.xxhash64("doc_id"))
+    found = exact_pairs.remaining_pairs(table.select("node", "root", "row_key"), table.select("row_key", "text"), 0.8, 1 << 12)
+    assert sorted((r["rep"]["nth"], r["node"]["nth"]) for r in found.collect()) == [(i, 40 + i) for i in range(5)]
+
+
+def test_counts_of_words_keep_every_link(monkeypatch):
+    """The bound by counts, whose cells are few and whose unpacked rows are dropped now and then, against the edit distance."""
+    rng = random.Random(32)
+    base = [[f"w{int(rng.paretovariate(0.5)) % 500}" for _ in range(rng.randrange(1, 90))] for _ in range(10)] + [["a"] * 600, ["a"] * 480]
+    texts = list(base)
+    for _ in range(60):
+        words = list(rng.choice(base[:10]))
+        for _ in range(rng.randrange(0, len(words) // 4 + 2)):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (kind > 0)] = [f"w{rng.randrange(500)}"] if kind < 2 else []
+            words = words or ["w"]
+        texts.append(words)
+    n, similarity = len(texts), 0.8
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([" ".join(t) for t in texts])], ["row_key", "text"])
+    everything = SimpleNamespace(test=lambda hashes: np.ones(len(hashes), bool))
+    links = {(i, j) for i in range(n) for j in range(i) if edit(texts[i], texts[j]) <= int((1 - similarity) * max(len(texts[i]), len(texts[j])) + 1e-9)}
+    for cells, kept in ((4096, 1 << 13), (256, 2 * n), (256, 10)):
+        monkeypatch.setattr(exact_pairs, "COUNTERS", cells)
+        monkeypatch.setattr(exact_pairs, "KEPT", kept)
+        live = pa.Table.from_batches(exact_pairs._live_texts(everything, everything, similarity)([batch]))
+        for name in ("class", "id", "nth"):
+            live = live.append_column(name, live.column("row_key"))
+        entries = exact_pairs._entries(similarity, 5)(live.combine_chunks().to_batches())
+        found = [r for b in exact_pairs._candidates(similarity)(entries) for r in b.to_pylist()]
+        met = {(max(r["nth_a"], r["nth_b"]), min(r["nth_a"], r["nth_b"])) for r in found}
+        assert len(links) > 50 and not links - met
+        for i, j in met:  # none is far beyond the bound of their words
+            a, b = Counter(texts[i]), Counter(texts[j])
+            assert cells < 4096 or ((a - b) + (b - a)).total() <= 2 * int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9) - abs(len(texts[i]) - len(texts[j])) + 2 or max(a.values()) > 255
+
+
 def test_near_duplicates_of_very_long_texts(spark):
     rng = random.Random(22)
     long = [f"w{rng.randrange(10**6)}" for _ in range(40_000)]

@@ -246,6 +246,32 @@ def test_counts_of_words_keep_every_link(monkeypatch):
             assert cells < 4096 or ((a - b) + (b - a)).total() <= 2 * int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9) - abs(len(texts[i]) - len(texts[j])) + 2 or max(a.values()) > 255
 
 
+def test_strings_are_sent_in_few_bytes():
+    """Strings of texts go out in less than four bytes each, and with their places in less than eight; what is sent can be read back."""
+    rng = random.Random(33)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(200)) for _ in range(100)] + [" ".join(["long"] * 1500 + ["far"] * 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["row_key", "text"])
+    everything = SimpleNamespace(test=lambda hashes: np.ones(len(hashes), bool))
+    words = exact_pairs.Words(*exact_pairs.text_buffers(batch.column(1)))
+    hashes, doc, place, size, _ = exact_pairs.grams(words, 0.8)
+    block = next(exact_pairs._all_grams(everything, 0.8, 5)(iter([batch])))
+    assert block.column(1).nbytes < 3.5 * len(hashes)
+    part = block.column(0)[3].as_py()
+    assert exact_pairs._from_gaps(block.column(1)[3].as_py()).tolist() == sorted(exact_pairs._short(hashes[hashes >> np.uint64(59) == part], 5).tolist())
+    some = SimpleNamespace(test=lambda hashes: np.isin(np.arange(len(hashes)), [0, 5, 196, *range(197, len(hashes) - 1100), len(hashes) - 2]))
+    for shared in (everything, some):
+        live = next(exact_pairs._live_texts(everything, shared, 0.8)(iter([batch])))
+        n, got, of, at, width = exact_pairs._unpacked(live)
+        keys = np.array(live.column(0).to_pylist())
+        kept = shared.test(hashes) & np.isin(doc, keys)
+        assert (keys[of] == doc[kept]).all() and (at == place[kept]).all() and (width == size[kept]).all() and (n == words.count[keys]).all()
+        assert (got >> np.uint64(16) == hashes[kept] >> np.uint64(16)).all()
+        assert sum(live.column(k).nbytes for k in (2, 3, 4)) < 9 * len(got)
+    for row, k in zip(exact_pairs.word_counts(words, np.arange(len(texts))), range(len(texts)), strict=True):
+        cells = words.hashes()[words.doc == k] & np.uint64(exact_pairs.COUNTERS - 1)
+        assert exact_pairs._dense(row).tolist() == np.minimum(np.bincount(cells.astype(np.int64), minlength=exact_pairs.COUNTERS), 255).tolist()
+
+
 def test_near_duplicates_of_very_long_texts(spark):
     rng = random.Random(22)
     long = [f"w{rng.randrange(10**6)}" for _ in range(40_000)]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm._bytes import Rolling, Words, cover, pieces, place_key, place_keys, signed
-from prosemill.llm._spark import HashFilter, drop_staged, hash_filter, ship, staged
+from prosemill.llm._spark import HashFilter, drop_staged, hash_filter, held, ship, staged
 
 WINDOW = 50
 PERIOD = 31
@@ -151,15 +151,15 @@ def _window_sender(shared: HashFilter, places: HashFilter, window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, crc, codes, row_key), written: start * SPREAD + extent of runs of windows that a smaller document has. docs: doc_id, crc, text."""
     sent = docs.mapInArrow(_anchor_sender(window), "hash long, n int")
-    shared = staged(sent.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "anchors")
-    anchor_filter = hash_filter(shared, "hash", shared.count())
-    drop_staged(shared)
+    shared, n_shared = held(sent.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
+    anchor_filter = hash_filter(shared, "hash", n_shared)
+    shared.unpersist()
     key, place = ["common", "hash"], ["doc_id", "crc", "start"]
-    rows = staged(docs.mapInArrow(_stretch_sender(anchor_filter, window), RECORD), "stretch-rows")
-    # a table of its own, so that Spark can split the other side of the join where one stretch is frequent
+    rows, _ = held(docs.mapInArrow(_stretch_sender(anchor_filter, window), RECORD))
+    # a written table of its own, so that Spark can split the other side of the join where one stretch is frequent; one that is held keeps its partitions, and nothing is split
     least = staged(rows.groupBy(*key).agg(F.min("doc_id").alias("least")), "least")
     stretches = staged(rows.join(least, key), "stretches")
-    drop_staged(rows)
+    rows.unpersist()
     drop_staged(least)
     firsts = stretches.where("doc_id = least")
     contested = firsts.groupBy("common").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a < b").select("common")

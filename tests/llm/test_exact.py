@@ -83,6 +83,18 @@ def test_substring_dedup_of_long_texts(spark, monkeypatch, filter_bits):
     assert {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(table).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()} == want
 
 
+def test_substring_dedup_holds_what_it_need_not_write(docs, monkeypatch):
+    """For each file an executor forks a process that counts its memory twice, so anchors and rows are no files, and no block of them stays."""
+    from prosemill.llm import substring_dedup as module
+
+    written, before = [], docs.sparkSession.sparkContext._jsc.getPersistentRDDs().size()
+    staged = module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name: written.append(name) or staged(df, name))
+    assert sum(r["n_removed"] for r in substring_dedup(docs).collect()) > 1000
+    assert written == ["least", "stretches", "places", "smallest", "spans"]
+    assert docs.sparkSession.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 50, 3000):

@@ -32,9 +32,13 @@ SCHEMAS = {
 }
 
 
+#: What Spark takes for a null where a quoted field holds it: by default the empty text, which is one of its own here. No text is this one.
+NO_TEXT = "no text 5c1f0b7e94d84e6d9a3f2b60c7d1e8a4"
+
+
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Quoted CSV with line breaks in fields; quotes are doubled."""
-    return spark.read.schema(ddl).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    """Quoted CSV with line breaks in fields; quotes are doubled. A field of nothing is null, a quoted one of nothing an empty text."""
+    return spark.read.schema(ddl).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("nullValue", NO_TEXT).csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, ddl: str) -> DataFrame:

@@ -23,8 +23,9 @@ def output_path(folder: str, name: str, sample_size: int | None = None) -> str:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """UTF-8 without surrogates, replacing what is there."""
-    _clean(rows).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """UTF-8 without surrogates, replacing what is there. White space stays at the ends of texts, and an empty text is quoted, a null isn't."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": '""', "nullValue": ""}
+    _clean(rows).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').options(**kept).csv(path)
 
 
 def write_table(rows: DataFrame, path: str, by: list[str] | None = None) -> None:

@@ -88,7 +88,7 @@ def build(spark: SparkSession, name: str, path: str, folder: str, sample_size: i
 def ingest_essays(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Parses the XML files below path into one CSV of essays, and returns the summary with the files that couldn't be read."""
     parsed = sinks.staged(readers.tei_parsed(readers.tei_files(spark, path), path), "essays")
-    sinks.write_csv(parsed.where("text is not null"), out)
+    sinks.write_csv(readers.readable(parsed), out)
     summary = spark.createDataFrame(readers.tei_summary(parsed).collect(), "Metric string, Count long")  # four rows
     sinks.drop_staged(parsed)
     return summary

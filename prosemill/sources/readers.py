@@ -135,8 +135,11 @@ def turns_parts(turns: Column) -> Column:
 # --- TEI XML -------------------------------------------------------------------------------------------------------
 
 
-def parse_tei(raw: bytes) -> dict[str, str] | None:
-    """discipline, disciplinary group, course and the body's text with plain spacing; None if there is no such text."""
+def parse_tei(raw: bytes, textless: bool = False) -> dict[str, str | None] | None:
+    """discipline, disciplinary group, course and the body's text with plain spacing; None if there is no such text.
+
+    textless: a file that can be parsed counts without text too; its text is empty, or null if it has no body.
+    """
     try:
         root = ET.fromstring(re.sub(r"<!DOCTYPE[^>]*>", "", raw.decode("utf-8"), count=1))
     except (ET.ParseError, UnicodeDecodeError):
@@ -148,38 +151,45 @@ def parse_tei(raw: bytes) -> dict[str, str] | None:
         return "".join(found[0].itertext()).strip() if found else ""
 
     body = root.find(".//body")
-    text = " ".join("".join(body.itertext()).split()) if body is not None else ""
-    if not text:
+    text = " ".join("".join(body.itertext()).split()) if body is not None else None
+    if not text and not textless:
         return None
     return {"text": text, "discipline": noted(".//sourceDesc", "discipline"), "disciplinary_group": noted(".//sourceDesc", "disciplinary group"), "course": noted(".//person", "course")}
 
 
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        parsed = [parse_tei(bytes(x)) or {} for x in batch["content"]]
-        out = pd.DataFrame(parsed, columns=["text", "discipline", "disciplinary_group", "course"], dtype=object)
-        yield pd.concat([batch[["path"]].reset_index(drop=True), out.where(out.notna(), None)], axis=1)
+def _parse_files(textless: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parsed = [parse_tei(bytes(x), textless) for x in batch["content"]]
+            out = pd.DataFrame([p or {} for p in parsed], columns=["text", "discipline", "disciplinary_group", "course"], dtype=object)
+            yield pd.concat([batch[["path"]].reset_index(drop=True), out.where(out.notna(), None)], axis=1).assign(readable=[p is not None for p in parsed])
+
+    return run
 
 
-def tei_parsed(contents: DataFrame, root: str = "") -> DataFrame:
-    """id, text, file, subject, course of all files; text is null for those that can't be read or hold none. contents: path, content (binary)."""
-    parsed = contents.select("path", "content").mapInPandas(_parse_files, "path string, text string, discipline string, disciplinary_group string, course string")
+def tei_parsed(contents: DataFrame, root: str = "", textless: bool = False) -> DataFrame:
+    """id, text, file, subject, course, readable of all files; readable: it can be parsed and holds text, or no text if `textless` says so. contents: path, content (binary)."""
+    parsed = contents.select("path", "content").mapInPandas(_parse_files(textless), "path string, text string, discipline string, disciplinary_group string, course string, readable boolean")
     relative = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/") + "/") if root else "^$", "")
     parts = F.split(relative, "/")
     folder = F.when(F.size(parts) > 2, parts[1]).otherwise(F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit("")))
     group = F.coalesce(F.nullif("disciplinary_group", F.lit("")), F.when(F.size(parts) > 0, parts[0]))
     name = F.element_at(parts, -1)
-    return parsed.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("id"), "text", relative.alias("file"), subject_of(F.col("discipline"), group, folder).alias("subject"), "course")
+    return parsed.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("id"), "text", relative.alias("file"), subject_of(F.col("discipline"), group, folder).alias("subject"), "course", "readable")
 
 
-def tei_rows(contents: DataFrame, root: str = "") -> DataFrame:
+def tei_rows(contents: DataFrame, root: str = "", textless: bool = False) -> DataFrame:
     """The files that could be read."""
-    return tei_parsed(contents, root).where("text is not null")
+    return readable(tei_parsed(contents, root, textless))
+
+
+def readable(parsed: DataFrame) -> DataFrame:
+    return parsed.where("readable").drop("readable")
 
 
 def tei_summary(parsed: DataFrame) -> DataFrame:
     """Metric, Count of tei_parsed: files found, rows, files skipped, subjects."""
-    there = F.col("text").isNotNull()
+    there = F.col("readable")
     counts = parsed.agg(F.count("*").alias("a"), F.count_if(there).alias("b"), F.count_if(~there).alias("c"), F.count_distinct(F.when(there, F.col("subject"))).alias("d"))
     names = {"a": "XML files found", "b": "Rows written", "c": "Skipped (unreadable)", "d": "Unique subjects"}
     return counts.select(F.inline(F.array(*(F.struct(F.lit(v).alias("Metric"), F.col(k).alias("Count")) for k, v in names.items()))))

@@ -22,3 +22,7 @@ def agrees(spark, folder, name, texts):
 
 def test_csv_keeps_odd_texts(spark, tmp_path):
     agrees(spark, tmp_path, "csv_scan", TEXTS)
+
+
+def test_xml_counts_files_without_text(spark, tmp_path):
+    agrees(spark, tmp_path, "xml_ingest", TEXTS)

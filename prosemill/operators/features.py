@@ -145,6 +145,6 @@ class TfidfModel:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    from prosemill.operators.linking import terms
+    from prosemill.operators.linking import terms, untagged
 
-    return rows.withColumn("_terms", terms(T.strip_placeholders(F.col("text")), None, True))
+    return rows.withColumn("_terms", terms(untagged(F.col("text")), None, True))

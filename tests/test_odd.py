@@ -30,3 +30,8 @@ def test_xml_counts_files_without_text(spark, tmp_path):
 
 def test_xml_summary_counts_files_without_text(spark, tmp_path):
     agrees(spark, tmp_path, "xml_summary", TEXTS)
+
+
+def test_tfidf_weights_take_all_terms(spark, tmp_path):
+    many = " ".join(f"w{i}" for i in range(60_010))
+    agrees(spark, tmp_path, "tfidf_weights", [many, "few words", f"{many} w1 w2", "few other words", "few " * 3, "w5 words"])

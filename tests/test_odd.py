@@ -35,3 +35,17 @@ def test_xml_summary_counts_files_without_text(spark, tmp_path):
 def test_tfidf_weights_take_all_terms(spark, tmp_path):
     many = " ".join(f"w{i}" for i in range(60_010))
     agrees(spark, tmp_path, "tfidf_weights", [many, "few words", f"{many} w1 w2", "few other words", "few " * 3, "w5 words"])
+
+
+def test_link_sends_human_rows_in_rounds(spark, tmp_path, monkeypatch):
+    """With pieces and tiles of a few rows the link is that of the SQL, and no vector is written more than once."""
+    from prosemill.operators import linking
+
+    for name, value in {"TILE": 4, "ENTRIES": 40, "PRODUCTS": 3, "TERMS": 2}.items():
+        monkeypatch.setattr(linking, name, value)
+    written = []
+    monkeypatch.setattr(linking, "staged", lambda df, name, plain=linking.staged: (out := plain(df, name), written.append((name, out.count(), out.select(linking.F.countDistinct("row_id")).first()[0])))[0])
+    words = [f"word{i}" for i in range(12)]
+    texts = [" ".join(words[(i * k) % 12] for k in range(3 + i % 4)) for i in range(60)] + ["", "nothing shared", None]
+    agrees(spark, tmp_path, "link_originals", texts)
+    assert [w[0] for w in written] == ["terms", "vectors"] and all(n == ids for _, n, ids in written)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosemill.functions.text import strip
+from prosemill.sources.staging import small_batches
 
 
 def schema(ddl: str) -> T.StructType:
@@ -118,6 +119,8 @@ def parse_conversation(text: str | None) -> tuple[str, str]:
 def conversation_parts(text: Column) -> Column:
     """struct<prompt, response> of parse_conversation, in Arrow batches: only Python knows its own literals."""
 
+    small_batches()
+
     @F.pandas_udf("prompt string, response string")
     def run(values: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_conversation(v) for v in values], columns=["prompt", "response"], index=values.index)
@@ -169,6 +172,7 @@ def _parse_files(textless: bool):
 
 def tei_parsed(contents: DataFrame, root: str = "", textless: bool = False) -> DataFrame:
     """id, text, file, subject, course, readable of all files; readable: it can be parsed and holds text, or no text if `textless` says so. contents: path, content (binary)."""
+    small_batches(contents.sparkSession)
     parsed = contents.select("path", "content").mapInPandas(_parse_files(textless), "path string, text string, discipline string, disciplinary_group string, course string, readable boolean")
     relative = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/") + "/") if root else "^$", "")
     parts = F.split(relative, "/")

@@ -3,6 +3,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from prosemill.functions import rewrite as P
 from prosemill.functions import rules as R
 
@@ -41,3 +44,14 @@ def test_inline_mathematics_is_judged_once_for_each_span(monkeypatch):
     assert P._inline_math("so $a=b$ and " * 200).count("[[EQUATION]]") == 200
     assert len(judged) == 200
     assert P._inline_math("$$x$ y = z$ end") == "$ [[EQUATION]]  y = z$ end".replace("$ [[EQUATION]]  y = z$", R.EQ)
+
+
+@pytest.mark.parametrize("name", ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"])
+def test_batches_of_texts_are_small(spark, name):
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, "100000000")
+        P.column(P.clean_residual_math_noise, F.lit("text"))
+        assert int(spark.conf.get(name)) <= 16_000_000
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)

@@ -177,19 +177,18 @@ def score_band(percent: Column) -> Column:
 def lexical_struct(text: Column) -> Column:
     """struct<ttr, hapax_legomena_ratio, avg_word_length, function_word_ratio> over alphabetic tokens; zeros without any."""
 
-    def of(tokens: Column) -> Column:
-        # one pass over the sorted tokens: how many runs there are, and how many are of length one
-        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("types"), F.lit(0).alias("once"))
-
-        def step(s: Column, w: Column) -> Column:
-            same = s["last"] == w
-            ended = F.when(~same & (s["run"] == 1), 1).otherwise(0)
-            return F.struct(w.alias("last"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), (s["types"] + F.when(same, 0).otherwise(1)).alias("types"), (s["once"] + ended).alias("once"))
+    def counted(each: Column) -> Column:
+        # where the runs of the sorted tokens start; a run of one ends where it starts
+        starts = F.filter(F.sequence(F.lit(0), F.size(each) - 1), lambda i: (i == 0) | (F.get(each, i) != F.get(each, i - 1)))
+        return let(starts, lambda at: F.struct(F.size(at).alias("types"), F.size(F.filter(at, lambda i, k: F.coalesce(F.get(at, k + 1), F.size(each)) - i == 1)).alias("once")))
 
-        runs = F.aggregate(F.sort_array(tokens), start, step, lambda s: F.struct(s["types"].alias("types"), (s["once"] + F.when(s["run"] == 1, 1).otherwise(0)).alias("once")))
-        letters = F.aggregate(tokens, F.lit(0), lambda s, w: s + F.length(w))
+    def of(tokens: Column) -> Column:
+        runs = F.when(F.size(tokens) > 0, let(F.sort_array(tokens), counted)).otherwise(F.struct(F.lit(0).alias("types"), F.lit(0).alias("once")))
+        letters = F.length(F.array_join(tokens, ""))
         function = F.size(F.filter(tokens, lambda w: w.isin(*sorted(set(R.FUNCTION_WORDS)))))
         n = F.greatest(F.size(tokens), F.lit(1))
-        return F.struct((runs["types"] / n).alias("ttr"), (runs["once"] / n).alias("hapax_legomena_ratio"), (letters / n).alias("avg_word_length"), (function / n).alias("function_word_ratio"))
+        return let(runs, lambda r: F.struct((r["types"] / n).alias("ttr"), (r["once"] / n).alias("hapax_legomena_ratio"), (letters / n).alias("avg_word_length"), (function / n).alias("function_word_ratio")))
 
-    return let(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(\p{L}+)"), F.lit(1)), lambda w: F.lower(w)), of)
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))  # what the other way gives for ASCII, without a call for each token
+    each = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(\p{L}+)"), F.lit(1)), lambda w: F.lower(w))
+    return let(F.when(F.length(text) == F.octet_length(text), plain).otherwise(each), of)

@@ -49,3 +49,12 @@ def test_link_sends_human_rows_in_rounds(spark, tmp_path, monkeypatch):
     texts = [" ".join(words[(i * k) % 12] for k in range(3 + i % 4)) for i in range(60)] + ["", "nothing shared", None]
     agrees(spark, tmp_path, "link_originals", texts)
     assert [w[0] for w in written] == ["terms", "vectors"] and all(n == ids for _, n, ids in written)
+
+
+def test_lexical_features_by_the_token(spark, tmp_path):
+    """ASCII texts are taken in lower case as a whole, others token by token; the features are those of the SQL."""
+    agrees(spark, tmp_path, "lexical_features", ["", " ", "12 !", "One one TWO two three", "a a b", "Zoë zoë ZOË the x", "the The THE", "it's it is", "x", "é"])
+    from prosemill.functions import text as T
+
+    plan = spark.createDataFrame([("a b a",)], "t string").select(T.lexical_struct(T.F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" not in plan  # a fold over every token was most of the time of detection
